@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, media, token_counts, toxicity, urls
+from . import bpe, chat, decontamination, licenses, media, minhash, suffix_dedup, token_counts, toxicity, urls
 from .common import map_batches, read_table
 
 #: Rules of the url query: verdict, host, path.
@@ -24,6 +24,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.as_events(turns.unionByName(extra)))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -70,7 +78,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_bpe, op4_token_counts, op5_media_columns, op6_toxicity, op8_url_filters, op9_decontamination)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_suffix_array_dedup,
+        op3_bpe,
+        op4_token_counts,
+        op5_media_columns,
+        op6_toxicity,
+        op7_license_scans,
+        op8_url_filters,
+        op9_decontamination,
+        op10_minhash_near_dedup,
+    )
+}
 
 ORACLES = {
     "op1_chat_formatting": r"""
