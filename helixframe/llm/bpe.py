@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import unicodedata
 
 import ahocorasick
@@ -31,7 +32,7 @@ from .common import map_batches
 #: The byte-to-character table that byte-level vocabularies use.
 _PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 #: Words kept in a worker's cache; it is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Stands for the end of a word inside the automaton; not a byte-level character.
 _END = "￿"
 
@@ -76,12 +77,32 @@ def _late_characters() -> re.Pattern:
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]" if runs else r"(?!)")
 
 
-def find_all(pattern: regex.Pattern, text: str) -> list[str]:
-    """All matches, with characters that were unassigned when the tokenizers' tables were made taken as symbols."""
-    if text.isascii() or not (late := _late_characters()).search(text):
-        return pattern.findall(text)
-    plain = late.sub("\U0001fffe", text)
-    return [text[m.start() : m.end()] for m in pattern.finditer(plain)]
+#: White space, letters and numbers up to U+024F.
+_SPACE, _LETTERS, _NUMBERS = r"\t-\r \x85\xa0", "a-zA-Zªµºß-öø-ɏÀ-ÖØ-Þ", "0-9²³¹¼½¾"
+_BEYOND = re.compile("[^\x00-\u024f]")
+
+
+class Splitter:
+    """All matches of a tokenizer's pattern.
+
+    Texts within Latin letters go by the standard pattern engine, with the
+    same classes spelt out; others by full Unicode properties, where characters
+    that were unassigned when the tokenizers' tables were made are symbols.
+    """
+
+    def __init__(self, pattern: str):
+        self.full = regex.compile(pattern)
+        plain = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+        plain = plain.replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACE}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
+        self.latin = re.compile(plain.replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
+
+    def __call__(self, text: str) -> list[str]:
+        if not _BEYOND.search(text):
+            return self.latin.findall(text)
+        late = _late_characters()
+        if not late.search(text):
+            return self.full.findall(text)
+        return [text[m.start() : m.end()] for m in self.full.finditer(late.sub("\U0001fffe", text))]
 
 
 class Vocabulary:
@@ -178,6 +199,15 @@ class BacktrackingEncoder:
     def encode(self, word: str) -> list[int]:
         """Token ids of one word in byte-level characters, its end mark included."""
         n = len(word)
+        # Longest match by longest match; where all neighbours are compatible no step back is needed.
+        out, size = [], 0
+        for _, (length, token) in self.automaton.iter_long(word):
+            if out and not self.compatible(out[-1], token):
+                break
+            out.append(token)
+            size += length
+        if size == n:
+            return out
         at = self._matches(word)
         dead = [False] * (n + 1)
         if self.v.suffix:
@@ -219,9 +249,10 @@ class WordBpe:
         self.v = Vocabulary(path)
         self.encoder = BacktrackingEncoder(self.v)
         pattern = next(p["pattern"]["Regex"] for p in self.v.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._words = regex.compile(pattern)
+        self._words = Splitter(pattern)
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
-        self._raw: dict[str, list[int]] = {}
+        self._raw: dict[str, bytes] = {}
+        self._packed_special = {t: struct.pack("<I", i) for t, i in self.v.special.items()}
         texts = {**{i: t for t, i in self.v.ids.items()}, **{i: t for t, i in self.v.special.items()}}
         pieces = [texts.get(i, "").encode() + b" " for i in range(max(texts) + 1)]
         #: token ``i`` is ``blob[offsets[i]:offsets[i + 1]]``, a separating space included
@@ -238,30 +269,34 @@ class WordBpe:
         return text.lower()
 
     def _words_of(self, text: str) -> list[str]:
-        return find_all(self._words, self.normalise(text))
+        return self._words(self.normalise(text))
 
-    def _ids_of(self, word: str) -> list[int]:
+    def _ids_of(self, word: str) -> bytes:
         found = self._raw.get(word)
         if found is None:
             if len(self._raw) >= CACHE_WORDS:
                 self._raw.clear()
             table = self.v.bytes
-            found = self._raw[word] = self.encoder.encode("".join([table[b] for b in word.encode()]) + (_END if self.v.suffix else ""))
+            ids = self.encoder.encode("".join([table[b] for b in word.encode()]) + (_END if self.v.suffix else ""))
+            found = self._raw[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def encode(self, text: str | None) -> list[int]:
+    def pack(self, text: str | None) -> bytes:
+        """Token ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
-        out: list[int] = []
-        parts = self._split.split(text) if self._split and "<|" in text else [text]
-        for part in parts:
-            token = self.v.special.get(part)
-            if token is not None:
-                out.append(token)
+            return b""
+        if not (self._split and any(t in text for t in self.v.special)):
+            return b"".join(map(self._ids_of, self._words_of(text)))
+        out = []
+        for part in self._split.split(text):
+            if part in self._packed_special:
+                out.append(self._packed_special[part])
             elif part:
-                for word in self._words_of(part):
-                    out += self._ids_of(word)
-        return out
+                out += map(self._ids_of, self._words_of(part))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.pack(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         if not len(ids):
@@ -274,11 +309,12 @@ class WordBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, ids array<int>, decoded string`` for each row of ``docs``.
+    """``key, ids binary, decoded string`` for each row of ``docs``.
 
-    One narrow stage: rows are never moved.  Other columns are ignored.
+    ``ids`` packs little-endian unsigned 32-bit integers.  One narrow stage:
+    rows are never moved.  Other columns are ignored.
     """
-    return map_batches(docs, [key, text], f"{_typed(docs, key)}, ids array<int>, decoded string", lambda: _encode_batch(path))
+    return map_batches(docs, [key, text], f"{_typed(docs, key)}, ids binary, decoded string", lambda: _encode_batch(path))
 
 
 @functools.lru_cache(maxsize=2)
@@ -291,8 +327,8 @@ def _encode_batch(path: str):
     bpe = load_word_bpe(path)
 
     def work(keys, texts):
-        ids = [bpe.encode(t) for t in texts]
-        return keys, ids, [bpe.decode(i) for i in ids]
+        ids = [bpe.pack(t) for t in texts]
+        return keys, ids, [bpe.decode(np.frombuffer(i, "<u4")) for i in ids]
 
     return work
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontamination, licenses, media, minhash, suffix_dedup, token_counts, toxicity, urls
-from .common import map_batches, read_table
+from .common import read_table
 
 #: Rules of the url query: verdict, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -35,19 +32,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Digests of each text's token ids and of the text decoded from them."""
     coded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-    def make():
-        def work(keys, ids, decoded):
-            return (
-                keys,
-                [len(i) for i in ids],
-                [hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest() for i in ids],
-                [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
-            )
-
-        return work
-
-    return map_batches(coded, ["doc_id", "ids", "decoded"], f"{bpe._typed(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

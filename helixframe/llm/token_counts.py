@@ -18,13 +18,13 @@ import json
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe import _typed, byte_characters, find_all
+from .bpe import Splitter, _typed, byte_characters
 from .common import map_batches
 
 #: Fixed value: the pattern that byte-level tokenizers split text by.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in a worker's cache; it is emptied when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 
 
 class TokenCounter(dict):
@@ -40,7 +40,7 @@ class TokenCounter(dict):
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self._split = regex.compile("|".join(map(regex.escape, special))) if special else None
         self._special = special
-        self._pieces = regex.compile(PIECES)
+        self._pieces = Splitter(PIECES)
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHE_PIECES:
@@ -83,7 +83,7 @@ class TokenCounter(dict):
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        return sum(map(self.__getitem__, find_all(self._pieces, text)))
+        return sum(map(self.__getitem__, self._pieces(text)))
 
 
 @functools.lru_cache(maxsize=2)
