@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +93,6 @@ def _text(variants: DataFrame, value: Column, escape) -> Column:
 
 def float_text(value: Column) -> Column:
     """Shortest decimal text as Python prints it; a vectorised function, used for changed floats only."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v != v else repr(float(v)), na_action="ignore")
