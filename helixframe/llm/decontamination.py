@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,17 +209,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark item is found; all columns stay."""
-    import pandas as pd
+def _clean(shared):
+    """Whether a text holds no item of a block."""
 
-    for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        bad = {i for i, *_ in shared.value.leaks(texts.tolist())}
+        return pd.Series([i not in bad for i in range(len(texts))])
+
+    return clean
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            bad = {i for i, *_ in shared.value.leaks(texts.tolist())}
-            return pd.Series([i not in bad for i in range(len(texts))])
 
-        docs = docs.where(clean(F.col(text)))
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text no benchmark item is found; all columns stay."""
+    for block in blocks(benchmark):
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block))(F.col(text)))
     return docs

@@ -386,4 +386,6 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     joined = docs.withColumn("_cut_key", digest(F.col(text))).join(found, "_cut_key", "left")
     new = F.when(F.col(text).isNotNull(), F.coalesce("_cut_text", text)).alias(text)
     out = joined.select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns])
-    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length(text), "n_chars").cast(docs.schema["n_chars"].dataType))

@@ -26,6 +26,7 @@ from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,8 +186,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", key:
 
 def score_column(lexicon: Lexicon):
     """The score as a function of a text column, for filters that keep all columns."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return texts.map(lexicon.score, na_action=None).astype("float64")
