@@ -28,7 +28,6 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -336,7 +335,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = stored(grouped.agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     edges = stored(_plausible(candidate_edges(classes), classes))
     ends = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    texts = stored(docs.join(ends.withColumnRenamed("c", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("c"), "text"))
+    # A merge at every size: the candidates grow with the documents.
+    texts = stored(docs.join(ends.withColumnRenamed("c", "doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("c"), "text"))
 
     # The likeliest partner of each class first; then what still joins two components.
     best = edges.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("best"))
