@@ -105,7 +105,8 @@ class Lexicon:
     def score(self, text: str | None) -> float:
         a, b, c = self.coefficients
         x, y = self.signals(text)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * x + c * y))))
+        z = a + b * x + c * y
+        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
 def held_out(key: Column) -> Column:
