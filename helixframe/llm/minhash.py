@@ -15,7 +15,11 @@ hot bucket is small where it is joined.
 
 Candidate edges whose signatures differ far too much are dropped (see
 ``SPREAD``); the rest are confirmed on full sets: first the best edge of each
-class, then whatever still joins two components.  Components come from
+class, then whatever still joins two components.  Where a bucket holds classes
+of different components after that, all members of these components go through
+an exact search: two linked sets share an element of their prefixes (their
+rarest parts under one order), so cross-component pairs from prefix postings,
+filtered by size and place, are all that can be left.  Components come from
 alternating large-star and small-star steps on written tables.
 
 Defined results: a null or empty text, or one of white space, has an empty set
@@ -44,6 +48,8 @@ WORDS, PERCENT = 5, 75
 BINS, ROWS, SKETCH = 256, 5, 128
 #: Standard errors below the least similarity at which a candidate is dropped unseen.
 SPREAD = 5.0
+#: Classes sampled to tell common hashes, and common hashes told apart, at most.
+SAMPLE, COMMON = 4096, 200_000
 #: Members that share one copy of a star's centre while they are confirmed.
 CHUNK = 256
 _CACHE_WORDS = 500_000
@@ -327,30 +333,144 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
+def _prefix(hashes: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The rarest part of a set that any linked set must meet, in a fixed order: by count in the sample, then by hash."""
+    n = len(hashes)
+    known = np.minimum(np.searchsorted(common, hashes), len(common) - 1) if len(common) else np.zeros(n, np.int64)
+    rank = np.where(common[known] == hashes, count[known], 0) if len(common) else known
+    return hashes[np.lexsort((hashes, rank))][: n + (-PERCENT * n // 100) + 1]
+
+
+def _crossing_pairs(c: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of different components from the sets that share a prefix hash, if sizes and places leave room for enough overlap."""
+    for i in range(0, len(c), 512):
+        s = slice(i, i + 512)
+        total = n[s, None] + n[None, : i + 512]
+        room = np.minimum((n - at)[s, None], (n - at)[None, : i + 512])
+        ok = (room >= -(-PERCENT * total // (100 + PERCENT))) & (comp[s, None] != comp[None, : i + 512])
+        ok &= 100 * np.minimum(n[s, None], n[None, : i + 512]) >= PERCENT * np.maximum(n[s, None], n[None, : i + 512])
+        x, y = np.nonzero(ok)
+        x += i
+        later = x > y
+        a, b = c[x[later]], c[y[later]]
+        yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+
+def _remaining_edges(members: DataFrame) -> DataFrame:
+    """Every edge that could still join two components, among ``c, component, text``.
+
+    Exact: linked sets share an element of their prefixes under any fixed order
+    of the hashes.  The order only decides how few pairs come out; it puts
+    hashes last that are common in a sample of about ``SAMPLE`` members.
+    """
+    spark = members.sparkSession
+    counted = spark.createDataFrame([], "h long, k long").schema
+    counted_schema = arrow_schema(counted)
+
+    def count(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(0)]
+            h, k = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield _table(counted_schema, [h.view(np.int64), k])
+
+    share = SAMPLE / max(SAMPLE, members.count())
+    sample = members.where(F.pmod(F.xxhash64("c"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))).select("text")
+    top = sample.mapInArrow(count, counted).groupBy("h").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "h").limit(COMMON).collect()
+    common = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    # SAMPLE and COMMON bound it.
+    shared = spark.sparkContext.broadcast((common[order], np.array([r.k for r in top], np.int64)[order]))
+    posting = spark.createDataFrame([], "h long, c long, n int, at int, component long").schema
+    posting_schema = arrow_schema(posting)
+
+    def post(batches):
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for c, component, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = shingles(t.as_py())
+                p = _prefix(h, *shared.value)
+                for o, v in zip(out, (p.view(np.int64), np.full(len(p), c), np.full(len(p), len(h)), np.arange(len(p)), np.full(len(p), component)), strict=True):
+                    o.append(v)
+            if out[0]:
+                yield _table(posting_schema, [np.concatenate(o).astype(k) for o, k in zip(out, (np.int64, np.int64, np.int32, np.int32, np.int64), strict=True)])
+
+    edge = spark.createDataFrame([], "a long, b long").schema
+    edge_schema = arrow_schema(edge)
+
+    def pairs(batches):
+        """One list of postings at a time; lists of one component are passed over."""
+        held: list[list[np.ndarray]] = []
+        found: list[np.ndarray] = []
+
+        def close():
+            if len(held) > 1 or held and len(held[0][0]) > 1:
+                c, n, at, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+                if len(c) > 1 and (comp != comp[0]).any():
+                    found.extend(_crossing_pairs(c.astype(np.int64), n.astype(np.int64), at.astype(np.int64), comp))
+            held.clear()
+
+        def emit():
+            distinct = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.clear()
+            return _table(edge_schema, [distinct[:, 0], distinct[:, 1]])
+
+        last = None
+        for batch in batches:
+            h, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if not len(h):
+                continue
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            ends = np.append(starts[1:], len(h))
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if h[s] != last:
+                    close()
+                    last = h[s]
+                held.append([x[s:e] for x in rest])
+            if sum(map(len, found)) > 100_000:
+                yield emit()
+        close()
+        yield emit()
+
+    return members.select("c", "component", "text").mapInArrow(post, posting).repartition("h").sortWithinPartitions("h").mapInArrow(pairs, edge).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(sketches(docs))
     grouped = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2", "n")
     classes = stored(grouped.agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    edges = stored(_plausible(candidate_edges(classes), classes))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    candidates = stored(candidate_edges(classes))
+    edges = stored(_plausible(candidates, classes))
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # A merge at every size: the candidates grow with the documents.
-    texts = stored(docs.join(ends.withColumnRenamed("c", "doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("c"), "text"))
+    texts = stored(docs.join(ends.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("c"), "text"))
 
     # The likeliest partner of each class first; then what still joins two components.
     best = edges.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("best"))
-    first = stored(_confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts))
-    found = components(first)
-    of = lambda end: found.select(F.col("c").alias(end), F.col("component").alias(f"of_{end}"))
-    rest = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-    second = stored(_confirmed(rest, texts))
-    final = components(first.unionByName(second))
+    links = stored(_confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts))
+    found = components(links)
+    second = stored(_confirmed(_between(edges, found).select("a", "b"), texts))
+    found = components(links := links.unionByName(second))
+
+    # Last, components that a bucket brings together but no edge has joined: all their members, exactly.
+    open_ = _between(candidates, found).select(F.explode(F.array("of_a", "of_b")).alias("component")).distinct()
+    members = texts.join(found, "c", "left").select("c", F.coalesce("component", "c").alias("component"), "text").join(open_, "component", "left_semi")
+    members = stored(members)
+    third = stored(_confirmed(_plausible(_remaining_edges(members), classes).select("a", "b"), texts))
+    final = components(links.unionByName(third))
+
     labelled = classes.select("k1", "k2", "n", "c").join(final, "c", "left").select("k1", "k2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "k1", "k2", "n").join(labelled, ["k1", "k2", "n"], "left")
     # An empty set is a component of its own.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    for used in (texts, edges):
+    for used in (texts, edges, candidates, members):
         discard(used)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _between(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges whose ends are in different components, with these as ``of_a`` and ``of_b``."""
+    of = lambda end: found.select(F.col("c").alias(end), F.col("component").alias(f"of_{end}"))
+    out = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return out.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
