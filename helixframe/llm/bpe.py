@@ -27,12 +27,12 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import held, map_batches
 
 #: The byte-to-character table that byte-level vocabularies use.
 _PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 #: Words kept in a worker's cache; it is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Stands for the end of a word inside the automaton; not a byte-level character.
 _END = "￿"
 
@@ -317,14 +317,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     return map_batches(docs, [key, text], f"{_typed(docs, key)}, ids binary, decoded string", lambda: _encode_batch(path))
 
 
-@functools.lru_cache(maxsize=2)
-def load_word_bpe(path: str) -> WordBpe:
-    """One encoder for each worker process and file."""
-    return WordBpe(path)
-
-
 def _encode_batch(path: str):
-    bpe = load_word_bpe(path)
+    bpe = held(("word bpe", path), lambda: WordBpe(path))
 
     def work(keys, texts):
         ids = [bpe.pack(t) for t in texts]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows turned into Python objects at a time.
 SLICE = 500
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """An object that a worker process keeps between tasks; one at a time, as workers serve many operators."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # what was freed goes back to the system
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +101,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+        for batch in slices(batches):
             out = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, arrow.field(i).type) for i, c in enumerate(out)],

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, stored
+from .common import arrow_schema, discard, held, slices, stored
 
 #: Words in a shingle, and least similarity of linked sets in per cent.
 WORDS, PERCENT = 5, 75
@@ -52,7 +52,7 @@ SPREAD = 5.0
 SAMPLE, COMMON = 4096, 200_000
 #: Members that share one copy of a star's centre while they are confirmed.
 CHUNK = 256
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,9 +64,6 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -78,7 +75,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(held("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(w))
     total = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
@@ -141,7 +138,7 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     schema = arrow_schema(target)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], [], [], []]
             for t in batch.column(1):
                 h = shingles(t.as_py())
@@ -291,17 +288,17 @@ def _confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
     schema = arrow_schema(target)
 
     def run(batches):
-        at, held = None, None
-        for batch in batches:
+        at, centres = None, None
+        for batch in slices(batches):
             out = []
             for centre, chunk, member, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if member is None:
                     if (centre, chunk) != at:
-                        at, held = (centre, chunk), []
-                    held.append(shingles(text))
+                        at, centres = (centre, chunk), []
+                    centres.append(shingles(text))
                 else:
                     s = shingles(text)
-                    if any(linked(h, s) for h in held):
+                    if any(linked(h, s) for h in centres):
                         out.append((min(centre, member), max(centre, member)))
             yield _table(schema, list(zip(*out, strict=True)) or [[], []])
 
@@ -384,7 +381,7 @@ def _remaining_edges(members: DataFrame) -> DataFrame:
     posting_schema = arrow_schema(posting)
 
     def post(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for c, component, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 h = shingles(t.as_py())
@@ -399,15 +396,15 @@ def _remaining_edges(members: DataFrame) -> DataFrame:
 
     def pairs(batches):
         """One list of postings at a time; lists of one component are passed over."""
-        held: list[list[np.ndarray]] = []
+        parts: list[list[np.ndarray]] = []
         found: list[np.ndarray] = []
 
         def close():
-            if len(held) > 1 or held and len(held[0][0]) > 1:
-                c, n, at, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(parts) > 1 or parts and len(parts[0][0]) > 1:
+                c, n, at, comp = (np.concatenate(x) for x in zip(*parts, strict=True))
                 if len(c) > 1 and (comp != comp[0]).any():
                     found.extend(_crossing_pairs(c.astype(np.int64), n.astype(np.int64), at.astype(np.int64), comp))
-            held.clear()
+            parts.clear()
 
         def emit():
             distinct = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -425,7 +422,7 @@ def _remaining_edges(members: DataFrame) -> DataFrame:
                 if h[s] != last:
                     close()
                     last = h[s]
-                held.append([x[s:e] for x in rest])
+                parts.append([x[s:e] for x in rest])
             if sum(map(len, found)) > 100_000:
                 yield emit()
         close()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, stored
+from .common import arrow_schema, slices, stored
 
 #: Bytes of a string that counts as repeated; bytes of an anchor; windows in a block; suffixes sorted together.
 LENGTH, GRAM, BLOCK, SORTED = 200, 64, 8, 4096
@@ -217,7 +217,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
     target, schema = _frame(docs.sparkSession, "core long, own long, at struct<dg:binary,i:int>")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             core, own, dg, number = [], [], [], []
             for t in batch.column(0):
                 data = _bytes(t.as_py())
@@ -247,7 +247,7 @@ def _open_blocks(texts: DataFrame) -> DataFrame:
     target, schema = _frame(texts.sparkSession, "core long, own long, at struct<dg:binary,begin:int,finish:int>")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             core, own, dg, begin, end = [], [], [], [], []
             for key, t, numbers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if not numbers:
@@ -292,7 +292,7 @@ def _windows(batches, counted: bool) -> Iterator[tuple]:
                 owner = np.searchsorted(offset, chunk, "right") - 1
                 yield h.part(chunk, chunk + LENGTH), g.part(chunk, chunk + LENGTH), [held[o][0] for o in owner.tolist()], chunk - offset[owner]
 
-    for batch in batches:
+    for batch in slices(batches):
         for key, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), _spans(batch.column(2)), strict=True):
             if not len(spans):
                 continue
@@ -346,7 +346,7 @@ def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> Dat
     target, schema = _frame(spark, "dg binary, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in schema]
             for key, t, full, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), _spans(batch.column(3)), strict=True):
                 data = _bytes(t.as_py())

@@ -11,7 +11,6 @@ counted whole; equal texts get equal counts.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 
@@ -19,12 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Splitter, _typed, byte_characters
-from .common import map_batches
+from .common import held, map_batches
 
 #: Fixed value: the pattern that byte-level tokenizers split text by.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in a worker's cache; it is emptied when it is full.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 
 
 class TokenCounter(dict):
@@ -86,17 +85,11 @@ class TokenCounter(dict):
         return sum(map(self.__getitem__, self._pieces(text)))
 
 
-@functools.lru_cache(maxsize=2)
-def load_counter(path: str) -> TokenCounter:
-    """One counter for each worker process and file."""
-    return TokenCounter(path)
-
-
 def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, n_bytes long, n_tokens long`` for each row; rows are never moved."""
 
     def make():
-        counter = load_counter(path)
+        counter = held(("token counter", path), lambda: TokenCounter(path))
         return lambda keys, texts: (keys, [len((t or "").encode()) for t in texts], [counter.count(t) for t in texts])
 
     return map_batches(docs, [key, text], f"{_typed(docs, key)}, n_bytes long, n_tokens long", make)
