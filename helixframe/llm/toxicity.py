@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _typed
-from .common import map_batches
+from .common import map_batches, stored
 
 #: Labelled rows that a fit reads at most, and entries of a lexicon at most.
 FIT_ROWS, LEXICON = 12_000, 2_000
@@ -65,6 +66,11 @@ def candidates(folded: str) -> set[str]:
     return out
 
 
+def least_word(text: str | None) -> int:
+    """The least hash of a text's words: texts with nearly the same words nearly always have the same."""
+    return min((zlib.crc32(w.encode()) << 20 ^ zlib.adler32(w.encode()) for w in set(fold(text).split())), default=-1)
+
+
 class Lexicon:
     """Weighted entries, exception phrases and the score's coefficients."""
 
@@ -123,6 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int =
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` ids and labels: a size bound for the broadcast.
     drawn = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # Copies and near copies of a text count once: all their words would look like entries.
+    alike = map_batches(drawn, ["text", "toxic"], "text string, toxic int, least long", lambda: lambda texts, toxic: (texts, toxic, [least_word(t) for t in texts]))
+    drawn = stored(alike.dropDuplicates(["toxic", "least"]).select("text", "toxic"))
 
     def make():
         def work(texts, toxic):
