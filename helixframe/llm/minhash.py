@@ -204,13 +204,13 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     rows = classes.where("n > 0").select("c", "n", "bands")
 
     def local(batches):
-        for batch in batches:
+        for batch in slices(batches, 2000):
             edges = _edges_of(*_bucket_rows(batch))
             yield _table(edge_schema, list(zip(*edges, strict=True)) or [[], []])
 
     def heads(batches):
         """One class, the smallest, for each bucket of a batch and each size range."""
-        for batch in batches:
+        for batch in slices(batches, 2000):
             b, c, n = _bucket_rows(batch)
             keep = np.zeros(len(b), bool)
             start = np.append(True, b[1:] != b[:-1])
@@ -305,16 +305,46 @@ def _confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, target).distinct()
 
 
+def _local_forest(edges: DataFrame) -> DataFrame:
+    """Edges ``u > v`` with the same components, from each task's own forest: no more than its nodes, and flat."""
+    target = edges.sparkSession.createDataFrame([], "u long, v long").schema
+    schema = arrow_schema(target)
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+        yield _table(schema, list(zip(*rows, strict=True)) or [[], []])
+
+    return edges.mapInArrow(run, target)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``c, component``: the smallest member reachable, for every linked member.
 
-    Alternates two steps until nothing changes: every node hands its larger
-    neighbours to its least neighbour, then its smaller ones.  Tables are
-    written between rounds.
+    Each task first reduces its own edges to flat trees.  Then two steps
+    alternate until all edges are stars: every node hands its larger neighbours
+    to its least neighbour, then its smaller ones.  Tables are written between
+    rounds.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    edges = stored(_local_forest(links.select("a", "b")).distinct())
     while True:
+        # Stars: nobody's parent has a parent, and nobody has two.
+        parents = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        loose = parents.where("low <> high").select("u").unionByName(edges.join(parents.select(F.col("u").alias("v")), "v", "left_semi").select("u"))
+        if loose.isEmpty():
+            return edges.select(F.col("u").alias("c"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -324,10 +354,6 @@ def components(links: DataFrame) -> DataFrame:
         after = stored(small)
         discard(edges)
         edges = after
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            return edges.select(F.col("u").alias("c"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component")).distinct())
-        seen = state
 
 
 def _prefix(hashes: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -448,14 +474,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     links = stored(_confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts))
     found = components(links)
     second = stored(_confirmed(_between(edges, found).select("a", "b"), texts))
-    found = components(links := links.unionByName(second))
+    if not second.isEmpty():
+        found = components(links := stored(links.unionByName(second)))
 
     # Last, components that a bucket brings together but no edge has joined: all their members, exactly.
     open_ = _between(candidates, found).select(F.explode(F.array("of_a", "of_b")).alias("component")).distinct()
     members = texts.join(found, "c", "left").select("c", F.coalesce("component", "c").alias("component"), "text").join(open_, "component", "left_semi")
     members = stored(members)
     third = stored(_confirmed(_plausible(_remaining_edges(members), classes).select("a", "b"), texts))
-    final = components(links.unionByName(third))
+    final = found if third.isEmpty() else components(links.unionByName(third))
 
     labelled = classes.select("k1", "k2", "n", "c").join(final, "c", "left").select("k1", "k2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "k1", "k2", "n").join(labelled, ["k1", "k2", "n"], "left")
