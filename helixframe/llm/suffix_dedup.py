@@ -205,6 +205,8 @@ def _settle(rows: DataFrame, core: str, own: str) -> tuple[DataFrame, DataFrame]
     bytes one row of each kind is open, to be compared at the next level.
     """
     shared = rows.groupBy(core).agg(F.count("*").alias("n"), F.min(own).alias("x"), F.max(own).alias("y")).where("n > 1").select(core, (F.col("x") != F.col("y")).alias("mixed"))
+    # Written first, so that a join splits the rows of a core that very many share.
+    shared = stored(shared)
     known = stored(rows.join(shared, core))
     kinds = known.where("mixed").groupBy(core, own).agg(F.count("*").alias("n"), F.min("at").alias("at"))
     kinds = stored(kinds)
