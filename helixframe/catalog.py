@@ -99,7 +99,7 @@ _TYPES = f"list_transform(CASE WHEN alt = '.' THEN [] ELSE string_split(alt, ','
 def alt_type_counts(spark, sf_dir):
     """Types of alternative alleles by chromosome."""
     v = variants(spark, sf_dir)
-    return v.select("chrom", F.explode("alt").alias("a")).groupBy("chrom", F.col("a.type").alias("type")).agg(F.count("*").alias("n"))
+    return samples.explode_alleles(v, "chrom").groupBy("chrom", F.col("allele.type").alias("type")).agg(F.count("*").alias("n"))
 
 
 @_query("""SELECT chrom, pos::BIGINT AS pos, (pos - 1)::BIGINT AS begin_pos, ref, alt,
@@ -168,28 +168,28 @@ _MATE = r"""regexp_extract(a, '^([^\[\]]*)[\[\]]([^\[\]]*)[\[\]](.*)$', {})"""
  FROM t WHERE regexp_matches(a, '[\\[\\]]')""")
 def breakend_fields(spark, sf_dir):
     """Parts of breakends."""
-    a = variants(spark, sf_dir).select("chrom", "pos", F.explode("alt").alias("a")).where("a.kind = 'breakend'")
+    a = samples.explode_alleles(variants(spark, sf_dir), "chrom", "pos").withColumnRenamed("allele", "a").where("a.kind = 'breakend'")
     return a.select("chrom", "pos", "a.raw", "a.mate_chrom", "a.mate_pos", "a.orientation", "a.mate_orientation", "a.sequence", F.col("a.within_main_assembly").alias("main"))
 
 
 @_query(f", {_ALLELES} SELECT a AS raw, a AS text, count(*)::BIGINT AS n FROM t GROUP BY a")
 def breakend_roundtrip(spark, sf_dir):
     """Alleles written anew from their parts."""
-    a = variants(spark, sf_dir).select(F.explode("alt").alias("a"))
+    a = samples.explode_alleles(variants(spark, sf_dir)).withColumnRenamed("allele", "a")
     return a.groupBy(F.col("a.raw").alias("raw"), alleles.serialize(F.col("a")).alias("text")).agg(F.count("*").alias("n"))
 
 
 @_query(f", {_ALLELES} SELECT a AS raw, '+' AS orientation, substr(a, 2) AS sequence, count(*)::BIGINT AS n FROM t WHERE starts_with(a, '.') GROUP BY a")
 def single_breakend(spark, sf_dir):
     """Breakends without mate."""
-    a = variants(spark, sf_dir).select(F.explode("alt").alias("a")).where("a.kind = 'single_breakend'")
+    a = samples.explode_alleles(variants(spark, sf_dir)).withColumnRenamed("allele", "a").where("a.kind = 'single_breakend'")
     return a.groupBy("a.raw", "a.orientation", "a.sequence").agg(F.count("*").alias("n"))
 
 
 @_query(f", {_ALLELES} SELECT chrom, substr(a, 2, length(a) - 2) AS value, count(*)::BIGINT AS n FROM t WHERE type = 'SYMBOLIC' GROUP BY chrom, a")
 def symbolic_alleles(spark, sf_dir):
     """Symbolic alleles."""
-    a = variants(spark, sf_dir).select("chrom", F.explode("alt").alias("a")).where("a.kind = 'symbolic'")
+    a = samples.explode_alleles(variants(spark, sf_dir), "chrom").withColumnRenamed("allele", "a").where("a.kind = 'symbolic'")
     return a.groupBy("chrom", F.col("a.value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -332,7 +332,8 @@ def unknown_filters(spark, sf_dir):
 def info_length_check(spark, sf_dir):
     """Records whose list is too long or short."""
     v = variants(spark, sf_dir, checks=["INFO"])
-    return v.where(F.exists("warnings", lambda w: w["code"] == "IncorrectListLength")).groupBy("chrom").agg(F.count("*").alias("n"))
+    bad = F.exists("warnings", lambda w: w["code"] == "IncorrectListLength")
+    return v.select("chrom", bad.alias("bad")).groupBy("chrom").agg(F.count_if("bad").alias("n")).where("n > 0")
 
 
 @_query("SELECT chrom, pos::BIGINT AS pos, NULL::BIGINT AS ns, 'x7' AS raw, 1::INT AS n_warnings FROM v WHERE contains(info, 'NS=')")

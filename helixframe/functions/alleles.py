@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fields import let
+
 SNV, MNV, DEL, INS, INDEL, SV, BND, SYMBOLIC, MIXED = "SNV", "MNV", "DEL", "INS", "INDEL", "SV", "BND", "SYMBOLIC", "MIXED"
-_BRACKETED = r"^([^\[\]]*)[\[\]]([^\[\]]*)[\[\]](.*)$"
 
 
 def substitution_type(ref: Column, alt: Column) -> Column:
@@ -19,38 +20,51 @@ def substitution_type(ref: Column, alt: Column) -> Column:
     )
 
 
+def _allele(raw: Column, kind: str, type_: Column, **parts: Column) -> Column:
+    kinds = {"value": "string", "mate_chrom": "string", "mate_pos": "bigint", "orientation": "string", "mate_orientation": "string", "sequence": "string", "within_main_assembly": "boolean"}
+    rest = [parts.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+    return F.struct(raw.alias("raw"), F.lit(kind).alias("kind"), type_.alias("type"), *rest)
+
+
+def _breakend(alt: Column, parts: Column) -> Column:
+    """A breakend from its text and that text split at the brackets."""
+    mate = F.get(parts, F.lit(1))
+    ancillary = F.startswith(mate, F.lit("<"))
+    forward = F.left(alt, F.lit(1)).isin("[", "]")
+    chrom = F.substring_index(mate, ":", 1)
+    return _allele(
+        alt,
+        "breakend",
+        F.lit(BND),
+        mate_chrom=F.when(ancillary, F.substr(chrom, F.lit(2), F.length(chrom) - 2)).otherwise(chrom),
+        mate_pos=F.substr(mate, F.instr(mate, ":") + 1).try_cast("bigint"),
+        orientation=F.when(forward, "+").otherwise("-"),
+        mate_orientation=F.when(F.contains(alt, F.lit("[")), "+").otherwise("-"),
+        sequence=F.when(forward, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(0))),
+        within_main_assembly=~ancillary,
+    )
+
+
 def allele(ref: Column, alt: Column) -> Column:
-    """One alternative allele as a struct; ``kind`` tells its class, ``type`` its type code."""
-    bracketed = alt.rlike(r"[\[\]]")
-    single_forward, single_reverse = F.startswith(alt, F.lit(".")), F.endswith(alt, F.lit("."))
+    """One alternative allele as a struct; ``kind`` tells its class, ``type`` its type code.
+
+    Plain substitutions, by far the most, take substring tests only.
+    """
+    forward, reverse = F.startswith(alt, F.lit(".")), F.endswith(alt, F.lit("."))
     symbolic = F.startswith(alt, F.lit("<")) & F.endswith(alt, F.lit(">"))
-    part = lambda i: F.regexp_extract(alt, _BRACKETED, i)
-    mate = part(2)
-    chrom = F.substring_index(mate, ":", 1)
-    ancillary = F.startswith(mate, F.lit("<"))
-    forward = alt.rlike(r"^[\[\]]")
-    text = F.lit(None).cast("string")
-    kind = F.when(bracketed, "breakend").when(single_forward | single_reverse, "single_breakend").when(symbolic, "symbolic").otherwise("substitution")
-    orientation = F.when(bracketed, F.when(forward, "+").otherwise("-")).when(single_forward, "+").when(single_reverse, "-")
-    sequence = F.when(bracketed, F.when(forward, part(3)).otherwise(part(1))).when(single_forward, F.substr(alt, F.lit(2))).when(single_reverse, F.left(alt, F.length(alt) - 1))
-    return F.struct(
-        alt.alias("raw"),
-        kind.alias("kind"),
-        F.when(bracketed | single_forward | single_reverse, F.lit(BND)).when(symbolic, F.lit(SYMBOLIC)).otherwise(substitution_type(ref, alt)).alias("type"),
-        F.when(bracketed | single_forward | single_reverse, text).when(symbolic, F.substr(alt, F.lit(2), F.length(alt) - 2)).otherwise(alt).alias("value"),
-        F.when(bracketed, F.when(ancillary, F.regexp_replace(chrom, "^<|>$", "")).otherwise(chrom)).alias("mate_chrom"),
-        F.when(bracketed, F.substr(mate, F.instr(mate, ":") + 1).try_cast("bigint")).alias("mate_pos"),
-        orientation.alias("orientation"),
-        F.when(bracketed, F.when(F.contains(alt, F.lit("[")), "+").otherwise("-")).alias("mate_orientation"),
-        sequence.alias("sequence"),
-        F.when(bracketed, ~ancillary).alias("within_main_assembly"),
+    return (
+        F.when(F.contains(alt, F.lit("[")) | F.contains(alt, F.lit("]")), let(F.split(alt, r"[\[\]]"), lambda p: _breakend(alt, p)))
+        .when(forward, _allele(alt, "single_breakend", F.lit(BND), orientation=F.lit("+"), sequence=F.substr(alt, F.lit(2))))
+        .when(reverse, _allele(alt, "single_breakend", F.lit(BND), orientation=F.lit("-"), sequence=F.left(alt, F.length(alt) - 1)))
+        .when(symbolic, _allele(alt, "symbolic", F.lit(SYMBOLIC), value=F.substr(alt, F.lit(2), F.length(alt) - 2)))
+        .otherwise(_allele(alt, "substitution", substitution_type(ref, alt), value=alt))
     )
 
 
 def alleles(ref: Column, alt: Column) -> Column:
     """The alternative alleles of an ALT field; a dot is none."""
-    parts = F.when(alt == ".", F.array().cast("array<string>")).otherwise(F.split(alt, ","))
-    return F.transform(parts, lambda a: allele(ref, a))
+    parts = let(alt, lambda a: F.when(a == ".", F.array().cast("array<string>")).otherwise(F.split(a, ",")))
+    return let(ref, lambda r: F.transform(parts, lambda a: allele(r, a)))
 
 
 def serialize(a: Column) -> Column:

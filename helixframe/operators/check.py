@@ -81,5 +81,6 @@ def warnings_column(header: Header, checks: Sequence[str] = ()) -> Column:
 
 def warning_summary(variants: DataFrame) -> DataFrame:
     """How often each warning occurs."""
-    w = variants.select(F.explode("warnings").alias("w"))
+    # Outer: a plain explode has the optimizer infer filters that work the warnings out again.
+    w = variants.select(F.explode_outer("warnings").alias("w")).where(F.col("w").isNotNull())
     return w.groupBy(F.col("w.code").alias("code"), F.col("w.message").alias("message")).agg(F.count("*").alias("n"))

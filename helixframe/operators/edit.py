@@ -54,8 +54,9 @@ def _put(map_: Column, key: Column, value: Column) -> Column:
 def set_info(variants: DataFrame, key: str, value: Column | None) -> DataFrame:
     """Set an INFO value (a string, number or array column; null: a dot), or a flag with None."""
     text = F.lit(None).cast("string") if value is None else _text(variants, value, fields.escape_info)
-    out = variants.withColumn("info", _put(F.col("info"), F.lit(key), text))
-    return out
+    # Bound to a column first: vectorised functions do not run inside lambdas.
+    out = variants.withColumn("_text", text)
+    return out.withColumn("info", _put(F.col("info"), F.lit(key), F.col("_text"))).drop("_text")
 
 
 def drop_info(variants: DataFrame, key: str) -> DataFrame:
@@ -64,11 +65,10 @@ def drop_info(variants: DataFrame, key: str) -> DataFrame:
 
 def set_call_value(variants: DataFrame, key: str, value: Column, sample: str | None = None) -> DataFrame:
     """Set a FORMAT value of parsed calls, of one sample or all; ``FORMAT`` is extended if need be."""
-    out = add_format(variants, key)
-    text = _text(variants, value, fields.escape_format)
-    change = lambda c: _rebuilt(c, _put(c["data"], F.lit(key), text))
+    out = add_format(variants, key).withColumn("_text", _text(variants, value, fields.escape_format))
+    change = lambda c: _rebuilt(c, _put(c["data"], F.lit(key), F.col("_text")))
     pick = change if sample is None else lambda c: F.when(c["sample"] == sample, change(c)).otherwise(c)
-    return out.withColumn("calls", F.transform("calls", pick))
+    return out.withColumn("calls", F.transform("calls", pick)).drop("_text")
 
 
 def set_genotype(variants: DataFrame, genotype: Column, sample: str | None = None) -> DataFrame:
@@ -86,7 +86,8 @@ def _text(variants: DataFrame, value: Column, escape) -> Column:
 
     kind = variants.select(value.alias("v")).schema["v"].dataType
     if isinstance(kind, T.ArrayType):
-        parts = F.transform(value, lambda x: escape(float_text(x) if isinstance(kind.elementType, T.DoubleType) else x.cast("string")))
+        texts = float_texts(value) if isinstance(kind.elementType, T.DoubleType) else value.cast("array<string>")
+        parts = F.transform(texts, escape)
         return F.when(F.size(value) == 0, F.lit(".")).otherwise(F.array_join(parts, ","))
     return escape(float_text(value) if isinstance(kind, T.DoubleType) else value.cast("string"))
 
@@ -100,6 +101,16 @@ def float_text(value: Column) -> Column:
     return text(value)
 
 
+def float_texts(values: Column) -> Column:
+    """The same for arrays."""
+
+    @F.pandas_udf("array<string>")
+    def texts(x: pd.Series) -> pd.Series:
+        return x.map(lambda vs: None if vs is None else [None if v is None or v != v else repr(float(v)) for v in vs])
+
+    return texts(values)
+
+
 def soft_filter_total_depth(variants: DataFrame, least: int, label: str, key: str = "DP") -> DataFrame:
     """Mark records whose calls' depths add up to less than a limit."""
     depth = F.aggregate("calls", F.lit(0).cast("bigint"), lambda acc, c: acc + F.coalesce(fields.number(F.try_element_at(c["data"], F.lit(key)), "Integer"), F.lit(0).cast("bigint")))

@@ -58,11 +58,10 @@ def calls_column(header: Header, format_: Column, columns: Column) -> Column:
     if not names:
         return F.array().cast("array<struct<sample:string,parsed:boolean,raw:string,data:map<string,string>,gt:string,gt_alleles:array<int>,called:boolean,ploidy:int,ft:array<string>>>")
     zipped = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("name"), F.slice(columns, 10, len(names)).alias("raw"))
-    make = lambda x, parsed: genotypes.call(x["name"], parsed, x["raw"], fields.call_map(format_, x["raw"]) if parsed else None)
+    make = lambda x, f, parsed: genotypes.call(x["name"], parsed, x["raw"], fields.call_map(f, x["raw"]) if parsed else None)
     subset = header.samples.parsed_samples
-    if not subset:
-        return F.transform(zipped, lambda x: make(x, True))
-    return F.transform(zipped, lambda x: F.when(x["name"].isin(subset), make(x, True)).otherwise(make(x, False)))
+    one = lambda x, f: make(x, f, True) if not subset else F.when(x["name"].isin(subset), make(x, f, True)).otherwise(make(x, f, False))
+    return fields.let(format_, lambda f: F.transform(zipped, lambda x: one(x, f)))
 
 
 def field_infos(header: Header, kind: str, keys: Sequence[str] | None):

@@ -72,8 +72,10 @@ def snv_table(variants: DataFrame, header: Header) -> DataFrame:
     """Genotypes of single-base changes, one column for each sample."""
     from ..functions.alleles import is_snv
 
-    calls = [F.coalesce(F.get(F.col("calls"), F.lit(i))["gt"], F.lit("./.")).alias(n) for i, n in enumerate(header.samples.names)]
-    return variants.where(is_snv(F.col("ref"), F.col("alt"))).select("chrom", "pos", "ref", F.array_join(F.transform("alt", lambda a: a["value"]), ",").alias("alt"), *calls)
+    gts = variants.where(is_snv(F.col("ref"), F.col("alt"))).select(
+        "chrom", "pos", "ref", F.array_join(F.transform("alt", lambda a: a["value"]), ",").alias("alt"), F.transform("calls", lambda c: F.coalesce(c["gt"], F.lit("./."))).alias("gts")
+    )
+    return gts.select("chrom", "pos", "ref", "alt", *[F.get("gts", F.lit(i)).alias(n) for i, n in enumerate(header.samples.names)])
 
 
 class Writer:
