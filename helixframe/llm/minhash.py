@@ -270,7 +270,8 @@ def _confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     # The end with more edges is the centre.
-    degree = edges.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
+    # Written first, so that a join splits the edges of a very common end.
+    degree = stored(edges.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("d")))
     e = edges.select("a", "b").join(degree.select(F.col("c").alias("a"), F.col("d").alias("d_a")), "a")
     e = e.join(degree.select(F.col("c").alias("b"), F.col("d").alias("d_b")), "b")
     swap = F.col("d_b") > F.col("d_a")
@@ -473,22 +474,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     best = edges.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("best"))
     links = stored(_confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts))
     found = components(links)
-    second = stored(_confirmed(_between(edges, found).select("a", "b"), texts))
+    # Components only grow: edges inside one are looked at no more.
+    crossing = stored(_between(candidates, found).select("a", "b"))
+    second = stored(_confirmed(edges.select("a", "b").join(crossing, ["a", "b"], "left_semi"), texts))
     if not second.isEmpty():
         found = components(links := stored(links.unionByName(second)))
 
     # Last, components that a bucket brings together but no edge has joined: all their members, exactly.
-    open_ = _between(candidates, found).select(F.explode(F.array("of_a", "of_b")).alias("component")).distinct()
+    open_ = _between(crossing, found).select(F.explode(F.array("of_a", "of_b")).alias("component")).distinct()
     members = texts.join(found, "c", "left").select("c", F.coalesce("component", "c").alias("component"), "text").join(open_, "component", "left_semi")
     members = stored(members)
-    third = stored(_confirmed(_plausible(_remaining_edges(members), classes).select("a", "b"), texts))
+    third = stored(_confirmed(_remaining_edges(members), texts))
     final = found if third.isEmpty() else components(links.unionByName(third))
 
     labelled = classes.select("k1", "k2", "n", "c").join(final, "c", "left").select("k1", "k2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "k1", "k2", "n").join(labelled, ["k1", "k2", "n"], "left")
     # An empty set is a component of its own.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    for used in (texts, edges, candidates, members):
+    for used in (texts, edges, candidates, crossing, members):
         discard(used)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -312,3 +312,17 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in kept[4].collect()} == set(ids) - leaks
     final = {tuple(r) for r in kept[5].collect()}
     assert final == {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} and len(final) == len(ids) - len(leaks)
+
+
+def test_stages_on_odd_tables(spark, documents, sf_dir):
+    """Empty tables, nulls, repeated rows and extra columns pass through every stage."""
+    import corpus_pipeline
+
+    text = syllables(random.Random(5), 60)
+    odd = documents([(1, None), (2, ""), (None, text), (4, "short"), (4, "short"), (5, text * 40)])
+    for frame, least in ((documents([]), 0), (odd, 4)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, sf_dir)
+            assert out.count() >= least, name
+            if name != "bpe":
+                assert out.columns == frame.columns
