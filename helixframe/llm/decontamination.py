@@ -34,6 +34,8 @@ Q, WINDOW, STEP, PER_EDIT = 12, 120, 60, 15
 BLOCK_CHARS = 8_000_000
 #: Characters of text searched at a time.
 CHUNK = 2_000_000
+#: Diagonals between texts that are searched together: no band reaches two of them.
+_GAP = 2 * WINDOW
 _SLOTS = 22
 
 
@@ -105,10 +107,18 @@ class Benchmark:
         self.edits = np.array([w[2] for w in self.windows], np.int64)
         self.least = np.array([w[3] for w in self.windows], np.int64)
 
-    def search(self, data: bytes) -> list[tuple[int, int, int]]:
-        """``(window, place, edits)`` of windows found in ``data``."""
+    def search(self, data: bytes, starts: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+        """``(window, place, edits)`` of windows found in ``data``.
+
+        ``starts``: where the texts in ``data`` begin, if it holds several, one
+        byte apart.  A window is looked for in each of them alone, and ``place``
+        lies in the text that holds it.
+        """
         if len(data) < Q or not len(self.keys):
             return []
+        starts = np.zeros(1, np.int64) if starts is None else starts
+        stops = np.append(starts[1:] - 1, len(data))
+        spread = starts + np.arange(len(starts)) * _GAP
         array = np.frombuffer(data, np.uint8)
         key = grams(array)
         at = np.flatnonzero(self.slots[(key >> np.uint64(64 - _SLOTS)).astype(np.int64)])
@@ -121,7 +131,8 @@ class Benchmark:
         ends = np.cumsum(n)
         index = np.repeat(self.first[found] - (ends - n), n) + np.arange(ends[-1])
         window = self.owner[index]
-        diagonal = np.repeat(at, n) - self.place[index] + WINDOW  # never negative
+        text = np.searchsorted(starts, at, "right") - 1
+        diagonal = np.repeat(at + text * _GAP, n) - self.place[index] + WINDOW  # never negative
         step = self.edits[window] + 1
         band = diagonal // step
         # Bands of two steps that overlap by one: each diagonal lies in two of them.
@@ -136,15 +147,18 @@ class Benchmark:
             b = int(code - (w << 40))
             s = int(self.edits[w]) + 1
             if (w, b - 1) in done:
-                continue  # the same region, seen in the band before
+                continue  # an exact hit in the band before: no better one is left
             low, high = b * s - WINDOW, (b + 2) * s - 1 - WINDOW
+            j = int(np.searchsorted(spread, high + WINDOW, "right")) - 1
+            low, high = low - j * _GAP, high - j * _GAP
             _, part, edits, _ = self.windows[w]
-            begin, end = max(0, low), max(0, min(len(data), high + len(part) + edits))
-            region = data[begin:end]
+            begin = max(int(starts[j]), low)
+            region = data[begin : max(begin, min(int(stops[j]), high + len(part) + edits))]
             p = region.find(part)
             d = 0 if p >= 0 else banded_distance(part, region, low - begin, high - begin, edits)
             if d <= edits:
-                done.add((w, b))
+                if not d:
+                    done.add((w, b))
                 out.append((w, begin + max(p, 0), d))
         return out
 
@@ -154,9 +168,9 @@ class Benchmark:
 
         def flush():
             data = b"\n".join(held)  # no window holds a line end
-            begins = np.cumsum([0, *(len(h) + 1 for h in held)])
+            begins = np.cumsum([0, *(len(h) + 1 for h in held[:-1])])
             found: dict[tuple[int, int], dict[int, int]] = {}
-            for w, p, d in self.search(data):
+            for w, p, d in self.search(data, begins):
                 where = int(np.searchsorted(begins, p, "right")) - 1
                 item = self.windows[w][0]
                 of = found.setdefault((starts[where], item), {})

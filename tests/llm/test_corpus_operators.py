@@ -139,6 +139,26 @@ def test_filter_loses_nothing():
             assert bool(found) == (best <= edits) and (not found or min(found) >= best)
 
 
+@pytest.mark.parametrize("length", [60, 105, 118, 300])
+def test_edited_items_at_the_start_of_texts(length):
+    """An item is given to the text that holds it, wherever in the text it begins and whatever comes before."""
+    rng = random.Random(length)
+    texts, want = [], []
+    for lead in range(20):
+        for edits in (0, 1, 3):
+            item = syllables(rng, 80)[:length].strip()
+            at = rng.randrange(5, 40)
+            changed = "".join("#" if k in range(at, at + 7 * edits, 7) else c for k, c in enumerate(item))
+            texts += [syllables(rng, 20), f"{'x' * lead}{changed}{rng.choice(['', ' end'])}"]
+            want.append((len(texts) - 1, len(want), item))
+    known = decontamination.Benchmark([(i, t) for _, i, t in want])
+    assert [(at, item) for at, item, *_ in known.leaks(texts)] == [(at, i) for at, i, _ in want]
+    # No hit across the border of two texts: each holds half.
+    halves = [half for *_, t in want for half in (t[: length // 2], t[length // 2 :])]
+    if length <= 60:
+        assert not list(known.leaks(halves))
+
+
 def components_of(rows):
     sets = []
     for _, t in rows:
