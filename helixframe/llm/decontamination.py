@@ -1,6 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping windows.  A text region within ``e``
+Benchmark items are cut into overlapping windows: long ones that may be edited
+much, and short ones at small steps, so that any stretch of ``FRAGMENT`` bytes
+of an item holds a whole short window and is found, copied word for word or
+with up to ``SHORT_EDITS`` edits.  A text region within ``e``
 edits of a window of ``m`` characters shares at least ``m - q + 1 - e * q`` of
 its q-grams with it, on diagonals at most ``e`` apart.  Shared q-grams are
 counted in diagonal bands of twice that width that overlap by half, so some
@@ -30,8 +33,11 @@ from .common import arrow_schema
 
 #: q-gram length, window length and step, characters to each allowed edit.
 Q, WINDOW, STEP, PER_EDIT = 12, 120, 60, 15
-#: Characters of benchmark items matched at a time; larger benchmarks go in blocks.
-BLOCK_CHARS = 8_000_000
+#: Length, step and allowed edits of the short windows, and the length of a stretch that always holds one.
+SHORT, SHORT_STEP, SHORT_EDITS = 50, 10, 2
+FRAGMENT = SHORT + SHORT_STEP - 1
+#: Characters of benchmark items matched at a time; larger benchmarks go in blocks.  Each gives about six window q-grams.
+BLOCK_CHARS = 2_500_000
 #: Characters of text searched at a time.
 CHUNK = 2_000_000
 #: Diagonals between texts that are searched together: no band reaches two of them.
@@ -78,6 +84,18 @@ def banded_distance(window: bytes, text: bytes, low: int, high: int, limit: int)
     return min(row)
 
 
+def _windows(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """Windows of an item with the edits allowed in each: the long ones (or the whole item), then the short ones."""
+    for size, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
+        if size == SHORT and len(data) <= SHORT:
+            return
+        last = max(0, len(data) - size)
+        for start in dict.fromkeys([*range(0, max(1, last), step), last]):
+            part = data[start : start + size]
+            if len(part) >= Q:
+                yield part, SHORT_EDITS if size == SHORT else min(len(part) // PER_EDIT, (len(part) - Q) // Q)
+
+
 class Benchmark:
     """Windows of benchmark items, ready to be searched for."""
 
@@ -86,12 +104,7 @@ class Benchmark:
         keys, owners, places = [], [], []
         for item, text in items:
             data = normalise(text)
-            starts = [*range(0, max(1, len(data) - WINDOW), STEP), max(0, len(data) - WINDOW)]
-            for start in dict.fromkeys(starts):
-                part = data[start : start + WINDOW]
-                if len(part) < Q:
-                    continue
-                edits = min(len(part) // PER_EDIT, (len(part) - Q) // Q)
+            for part, edits in _windows(data):
                 k = grams(np.frombuffer(part, np.uint8))
                 keys.append(k)
                 owners.append(np.full(len(k), len(self.windows), np.int64))
