@@ -10,8 +10,9 @@ signature put classes into buckets.
 Within a bucket, sorted by set size, each class gets a few candidate edges: to
 the bucket's first class of fitting size (a star) and to its predecessors one
 and three places back.  Candidates are thus linear in the bucket's size.  Each
-map task links its own members first and sends one class for each bucket, so a
-hot bucket is small where it is joined.
+map task links its own members first and sends the smallest and the largest
+class of each bucket and size range, so a hot bucket is small where it is joined
+and any two members of fitting size lie on an unbroken chain of candidates.
 
 Candidate edges whose signatures differ far too much are dropped (see
 ``SPREAD``); the rest are confirmed on full sets: first the best edge of each
@@ -209,7 +210,11 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             yield _table(edge_schema, list(zip(*edges, strict=True)) or [[], []])
 
     def heads(batches):
-        """One class, the smallest, for each bucket of a batch and each size range."""
+        """The smallest and the largest class for each bucket of a batch and each size range.
+
+        With both, ranges of different batches that could hold a pair of fitting
+        size are neighbours, or have neighbours between them, in the joined order.
+        """
         for batch in slices(batches, 2000):
             b, c, n = _bucket_rows(batch)
             keep = np.zeros(len(b), bool)
@@ -217,12 +222,16 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             keep[start] = True
             inner = np.flatnonzero(~start)
             if len(inner):
-                last, size = None, 0
+                last, size, before = None, 0, None
                 members = np.flatnonzero(~(start & np.append(start[1:], True)))
                 for i, band, k in zip(members.tolist(), b[members].tolist(), n[members].tolist(), strict=True):
                     if band != last or 100 * size < PERCENT * k:
                         last, size = band, k
                         keep[i] = True
+                        if before is not None:
+                            keep[before] = True
+                    before = i
+                keep[before] = True
             yield _table(bucket_schema, [b[keep], c[keep], n[keep]])
 
     def joined(batches):

@@ -223,6 +223,54 @@ def test_near_duplicates(documents, seed):
         assert got[d] == (n, c, d == c)
 
 
+@pytest.mark.parametrize(("seed", "others"), [(1, 0), (2, 0), (3, 3)])
+def test_candidates_across_batches(spark, seed, others):
+    """Classes that share a bucket and are of fitting size are connected by candidates, however they are dealt."""
+    rng = random.Random(seed)
+    base = np.unique(np.array([rng.getrandbits(64) for _ in range(100)], np.uint64))
+    parts = [[base], [base[:78], *(np.sort(np.array(rng.sample(base[:78].tolist(), rng.randint(59, 62)), np.uint64)) for _ in range(40))]]
+    for _ in range(others):
+        parts.append([np.sort(np.array(rng.sample(base.tolist(), rng.randint(20, 100)), np.uint64)) for _ in range(30)])
+    frame, known = None, []
+    for part in parts:
+        rows = [(len(known) + i, len(h), bytearray(minhash.bands(minhash.signature(h)).tobytes())) for i, h in enumerate(part)]
+        known += part
+        one = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "c long, n long, bands binary")
+        frame = one if frame is None else frame.unionByName(one)
+    root = list(range(len(known)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in minhash.candidate_edges(frame).collect():
+        root[find(a)] = find(b)
+    signs = [set(minhash.bands(minhash.signature(h)).tolist()) for h in known]
+    pairs = [(i, j) for i in range(len(known)) for j in range(i) if signs[i] & signs[j] and 100 * min(len(known[i]), len(known[j])) >= 75 * max(len(known[i]), len(known[j]))]
+    assert len(pairs) > 500 and not [p for p in pairs if find(p[0]) != find(p[1])]
+
+
+def test_near_duplicates_nested_in_small_batches(spark, documents):
+    """Nested sizes in many batches, against brute force."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(2):
+        words = syllables(rng, 110).split()
+        for _ in range(45):
+            n = rng.choice([rng.randint(62, 66), rng.randint(80, 84), rng.randint(100, 110)])
+            at = rng.randint(0, min(20, 110 - n))
+            rows.append((len(rows), " ".join(words[at : at + n])))
+    rng.shuffle(rows)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {d: c for d, _, c in components_of(rows)}
+
+
 def test_near_duplicates_odd_tables(spark, documents):
     text = syllables(random.Random(1), 40)
     rows = [(5, text), (5, text), (None, text), (None, None), (9, text.upper()), (4, None)]
