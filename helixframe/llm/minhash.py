@@ -33,6 +33,7 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,30 +85,33 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-@functools.lru_cache(maxsize=1)
-def _borrowing() -> np.ndarray:
-    """For attempt and bin the bin to borrow from: the same for every set."""
-    attempt, at = np.meshgrid(np.arange(1, 65, dtype=np.uint64), np.arange(BINS, dtype=np.uint64), indexing="ij")
+@functools.lru_cache(maxsize=32)
+def _borrowing(block: int) -> np.ndarray:
+    """For attempt and bin the bin to borrow from, the same for every set: attempts in blocks of 64."""
+    attempt, at = np.meshgrid(np.arange(64 * block + 1, 64 * block + 65, dtype=np.uint64), np.arange(BINS, dtype=np.uint64), indexing="ij")
     return (_mix(attempt * np.uint64(1_000_003) + at * _MULTIPLIER) % np.uint64(BINS)).astype(np.int64)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation signature, densified."""
+    """One-permutation signature, densified: each empty bin tries others in an order of its own until one is filled."""
     places = np.searchsorted(hashes, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
     ends = np.append(places[1:], len(hashes))
     filled = places < ends
     out = np.zeros(BINS, np.uint64)
     out[filled] = hashes[places[filled]]
+    if np.count_nonzero(filled) == 1:
+        out[:] = out[filled]
+        return out
     empty = np.flatnonzero(~filled)
-    for source in _borrowing():
+    for block in itertools.count():
         if not len(empty):
             return out
-        s = source[empty]
-        ok = filled[s]
-        out[empty[ok]] = out[s[ok]]
-        empty = empty[~ok]
-    out[empty] = hashes[0]
-    return out
+        source = _borrowing(block)[:, empty]
+        ok = filled[source]
+        any_ = ok.any(axis=0)
+        first = source[ok.argmax(axis=0), np.arange(len(empty))]
+        out[empty[any_]] = out[first[any_]]
+        empty = empty[~any_]
 
 
 def bands(sig: np.ndarray) -> np.ndarray:

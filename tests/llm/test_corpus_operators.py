@@ -300,6 +300,18 @@ def test_signature(values):
     assert all(sig[b] == x for b, x in least.items())
 
 
+def test_small_sets_share_a_band():
+    """Pairs just at the limit, of the fewest shingles, meet in a bucket."""
+    rng = np.random.default_rng(1)
+    for small in (3, 4, 6, 12):
+        apart = 0
+        for _ in range(500):
+            h = rng.integers(0, 2**64, small + 1, np.uint64)
+            a, b = np.sort(h[:small]), np.sort(h)
+            apart += not (minhash.bands(minhash.signature(a)) == minhash.bands(minhash.signature(b))).any()
+        assert apart <= 2, small
+
+
 def brute_repeats(texts, length=suffix_dedup.LENGTH):
     seen = {}
     raw = [(t or "").encode() for t in texts]
