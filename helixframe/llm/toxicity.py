@@ -7,35 +7,42 @@ exception list take out the hits inside them.  The weighted hits, in total and
 by text length, give a score between 0 and 1.
 
 The lexicon and the score are fitted on at most ``FIT_ROWS`` labelled rows,
-drawn by a hash of the id; the model then has at most ``LEXICON`` entries.
-Every row is scored, whole.
+drawn by a hash of the id.  Of copies among them, told by a digest of the folded
+text or three independent least shingles that all agree, the one with the least
+id is learned from; every other row is.  An entry counts once for all texts
+that have it between the same two words, so that what near copies share is no
+evidence.  Every entry whose odds are sure enough is kept: those rows bound how
+many there are.  Every row is scored, whole.
 
 Defined results: a null or empty text gets the score of a text without hits;
 labels that are null are not learned from, of contradicting ones 1 counts; with
-no label of both kinds every score is 0; repeated rows are scored each; other
-columns are ignored.
+no label of both kinds, or no rows, every score is 0; an empty table gives an
+empty table; repeated rows are scored each; texts of any length are scored and
+learned from whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _typed
-from .common import map_batches, stored
+from .common import discard, map_batches, stored
 
-#: Labelled rows that a fit reads at most, and entries of a lexicon at most.
-FIT_ROWS, LEXICON = 12_000, 2_000
+#: Labelled rows that a fit reads at most.
+FIT_ROWS = 12_000
+#: Words in the shingles that tell near copies.
+ALIKE_WORDS = 4
 #: Stem lengths tried; least lower confidence bound of an entry's log odds.
 STEMS, LEAST_ODDS = range(4, 9), 1.5
 #: A text is rejected from this score on.
@@ -47,7 +54,12 @@ HOMOGLYPHS = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s",
 }
 #: Phrases in which an entry is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown fish", "clown fish", "pond scum", "pathetic fallacy")
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bins", "trash bag", "trash bags", "trash collection", "trash truck", "take out the trash", "trash compactor",
+    "garbage can", "garbage cans", "garbage bag", "garbage bags", "garbage bin", "garbage truck", "garbage disposal", "garbage collection", "garbage collector",
+    "clown fish", "class clown", "circus clown", "pond scum", "pathetic fallacy", "idiot proof", "idiot light", "dumb bell", "dumb bells", "dumb waiter", "dumb terminal",
+    "loser bracket", "losers bracket", "loser pays rule", "pest control", "rat race", "lab rat", "lab rats", "pig iron", "guinea pig", "guinea pigs", "worm gear",
+)
 _FOLD = str.maketrans(HOMOGLYPHS)
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -57,18 +69,35 @@ def fold(text: str | None) -> str:
     return f" {' '.join(_WORDS.findall((text or '').lower().translate(_FOLD)))} "
 
 
-def candidates(folded: str) -> set[str]:
-    """Lexicon entries a text could give: whole words and stems, with their borders."""
-    out = set()
-    for word in set(folded.split()):
-        out.add(f" {word} ")
-        out.update(f" {word[:n]}" for n in STEMS if n < len(word))
+def occurrences(folded: str, wanted: frozenset[str] | None = None) -> dict[str, int]:
+    """Lexicon entries a text could give, whole words and stems with their borders, each with a hash of the words around its first place."""
+    words = folded.split()
+    out: dict[str, int] = {}
+    seen = set()
+    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        if word in seen:
+            continue
+        seen.add(word)
+        around = 0
+        for entry in (f" {word} ", *(f" {word[:n]}" for n in STEMS if n < len(word))):
+            if entry not in out and (wanted is None or entry in wanted):
+                around = around or xxhash.xxh3_64_intdigest(f"{before} {word} {after}".encode()) - (1 << 63)
+                out[entry] = around
     return out
 
 
-def least_word(text: str | None) -> int:
-    """The least hash of a text's words: texts with nearly the same words nearly always have the same."""
-    return min((zlib.crc32(w.encode()) << 20 ^ zlib.adler32(w.encode()) for w in set(fold(text).split())), default=-1)
+def alike_key(text: str | None) -> str:
+    """Equal for copies, and for most near copies; for other texts only by a chance that does not matter.
+
+    Three independent least shingles, which unrelated texts would have to share
+    all; a digest of the folded text where that is shorter than a shingle.
+    """
+    folded = fold(text)
+    words = folded.split()
+    if len(words) < ALIKE_WORDS:
+        return hashlib.blake2b(folded.encode(), digest_size=16).hexdigest()
+    made = {" ".join(words[i : i + ALIKE_WORDS]).encode() for i in range(len(words) - ALIKE_WORDS + 1)}
+    return "-".join(f"{min(xxhash.xxh3_64_intdigest(x, seed) for x in made):016x}" for seed in (1, 2, 3))
 
 
 class Lexicon:
@@ -120,40 +149,48 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int = LEXICON) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     """A lexicon from labelled texts; rows held out are not read.
 
-    What reaches the driver is bounded by ``rows`` and ``entries``.
+    What reaches the driver is bounded by ``rows``.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` ids and labels: a size bound for the broadcast.
-    drawn = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", "toxic")
     # Copies and near copies of a text count once: all their words would look like entries.
-    alike = map_batches(drawn, ["text", "toxic"], "text string, toxic int, least long", lambda: lambda texts, toxic: (texts, toxic, [least_word(t) for t in texts]))
-    drawn = stored(alike.dropDuplicates(["toxic", "least"]).select("text", "toxic"))
-
-    def make():
-        def work(texts, toxic):
-            folded = [candidates(fold(t)) for t in texts]
-            count = {1: Counter(), 0: Counter()}
-            for found, label in zip(folded, toxic, strict=True):
-                count[int(label > 0)].update(found)
-            keys = list(count[1].keys() | count[0].keys())
-            total = [sum(1 for t in toxic if t > 0), sum(1 for t in toxic if not t > 0)]
-            return [*keys, ""], [*(count[1][k] for k in keys), total[0]], [*(count[0][k] for k in keys), total[1]]
-
-        return work
-
-    counted = map_batches(drawn, ["text", "toxic"], "entry string, bad long, good long", make)
-    counted = counted.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 3 OR entry = ''")
-    total = counted.where("entry = ''").first()
-    if total is None or not total.bad or not total.good:
+    keyed = stored(map_batches(drawn, ["id", "text", "toxic"], "id string, text string, toxic int, alike string", lambda: lambda ids, texts, toxic: (ids, texts, toxic, [alike_key(t) for t in texts])))
+    first = keyed.groupBy("toxic", "alike").agg(F.min(F.struct("id", F.xxhash64("text").alias("h"))).alias("first"))
+    drawn = stored(keyed.withColumn("h", F.xxhash64("text")).join(first, ["toxic", "alike"]).where("id = first.id AND h = first.h").dropDuplicates(["toxic", "alike"]).select("text", "toxic"))
+    discard(keyed)
+
+    total = drawn.agg(F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good")).first()
+    if not total.bad or not total.good:
+        discard(drawn)
         return Lexicon({}, (-800.0, 0.0, 0.0))
-    n_bad, n_good = total.bad, total.good
-    a, b = F.col("bad") + 0.5, F.col("good") + 0.5
-    odds = F.log((a / F.lit(n_bad + 1.0)) / (b / F.lit(n_good + 1.0))) - 2 * F.sqrt(1 / a + 1 / b)
-    top = counted.where("entry <> ''").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), F.length("entry"), "entry").limit(entries).collect()
+
+    def counted(texts: DataFrame, wanted: frozenset[str] | None, name: str) -> DataFrame:
+        """For each entry in how many different surroundings it occurs."""
+
+        def make():
+            def work(texts):
+                found = {pair for t in texts for pair in occurrences(fold(t), wanted).items()}
+                return tuple(map(list, zip(*found, strict=True))) if found else ([], [])
+
+            return work
+
+        return map_batches(texts, ["text"], "entry string, around long", make).distinct().groupBy("entry").agg(F.count("*").alias(name))
+
+    def odds(bad: Column, good: Column) -> Column:
+        a, b = bad + 0.5, good + 0.5
+        return F.log((a / F.lit(total.bad + 1.0)) / (b / F.lit(total.good + 1.0))) - 2 * F.sqrt(1 / a + 1 / b)
+
+    # An entry that is not sure enough even if no other text has it is not looked for in them.
+    bad = stored(counted(drawn.where("toxic > 0"), None, "bad").where(odds(F.col("bad"), F.lit(0)) >= LEAST_ODDS))
+    wanted = frozenset(r.entry for r in bad.select("entry").collect())
+    good = counted(drawn.where("toxic <= 0"), wanted, "good")
+    both = bad.join(good, "entry", "left").withColumn("odds", odds(F.col("bad"), F.coalesce("good", F.lit(0))))
+    top = both.where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), F.length("entry"), "entry").collect()
     weights: dict[str, float] = {}
     for r in top:  # a stem that is in already covers what begins with it
         if not any(r.entry[:n] in weights for n in range(5, len(r.entry))):
@@ -164,8 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int =
         return lambda texts, toxic: (*zip(*map(lexicon.signals, texts), strict=True), [float(t > 0) for t in toxic]) if texts else ([], [], [])
 
     signals = map_batches(drawn, ["text", "toxic"], "x double, y double, bad double", signal_rows)
-    table = np.array([tuple(r) for r in signals.groupBy(F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "bad").count().collect()])
+    table = np.array(sorted(tuple(r) for r in signals.groupBy(F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "bad").count().collect()))
     lexicon.coefficients = logistic(table)
+    discard(bad)
+    discard(drawn)
     return lexicon
 
 

@@ -1,6 +1,7 @@
 """BPE, token counts, media, toxicity, license scans."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -188,6 +189,88 @@ def test_toxicity_fit(spark, documents):
     assert toxicity.score_documents(documents([]), lexicon).count() == 0
 
 
+def brute_toxicity(rows, labels):
+    """Entries, weights and scores in plain Python, from (id, text) rows with distinct texts and their labels."""
+    learned = [(t, labels[i]) for i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    folded = {t: re.findall("[a-z]+", t) for t, _ in learned}
+    around = {1: {}, 0: {}}
+    for t, label in learned:
+        words = folded[t]
+        first = {}
+        for k, w in enumerate(words):
+            for e in [f" {w} ", *(f" {w[:n]}" for n in range(4, 9) if n < len(w))]:
+                first.setdefault(e, tuple(words[max(0, k - 1) : k]) + ("|", w, "|") + tuple(words[k + 1 : k + 2]))
+        for e, place in first.items():
+            around[label].setdefault(e, set()).add(place)
+    seen = {label: {e: len(places) for e, places in found.items()} for label, found in around.items()}
+    n_bad, n_good = (sum(1 for _, x in learned if x == y) for y in (1, 0))
+    odds = {}
+    for e, bad in seen[1].items():
+        a, b = bad + 0.5, seen[0].get(e, 0) + 0.5
+        value = math.log(a / (n_bad + 1) / (b / (n_good + 1))) - 2 * math.sqrt(1 / a + 1 / b)
+        if value >= 1.5:
+            odds[e] = value
+    weights = {}
+    for e in sorted(odds, key=lambda e: (-odds[e], len(e), e)):
+        if not any(e.startswith(w) for w in weights if not w.endswith(" ")):
+            weights[e] = odds[e]
+
+    def signals(t):
+        words = f" {' '.join(re.findall('[a-z]+', t))} "
+        total = sum(w * sum(words.startswith(e, k) for k in range(len(words))) for e, w in weights.items())
+        return math.log1p(total), math.log1p(100 * total / max(1, len(words.split())))
+
+    points = [(*signals(t), y) for t, y in learned]
+    a, b, c = 0.0, 0.0, 0.0
+    for _ in range(200):  # Newton's method, written out
+        g, h = [0.0, -0.05 * b, -0.05 * c], [[1e-9, 0, 0], [0, 0.05 + 1e-9, 0], [0, 0, 0.05 + 1e-9]]
+        for x, y, label in points:
+            p = 1 / (1 + math.exp(-max(-30, min(30, a + b * x + c * y))))
+            v = (1.0, x, y)
+            for i in range(3):
+                g[i] += v[i] * (label - p)
+                for j in range(3):
+                    h[i][j] += v[i] * v[j] * p * (1 - p)
+        step = np.clip(np.linalg.solve(np.array(h, float), np.array(g)), -2, 2)
+        a, b, c = a + step[0], b + step[1], c + step[2]
+    return weights, lambda t: 1 / (1 + math.exp(-sum(k * v for k, v in zip((a, b, c), (1.0, *signals(t)), strict=True))))
+
+
+def test_toxicity_equals_brute_force(spark, documents):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("bcdfgaeiou") for _ in range(rng.randrange(3, 10))) for _ in range(150)]
+    rows, labels = [], {}
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(rng.randrange(12, 60))]
+        labels[i] = int(i % 4 == 0)
+        if labels[i]:
+            text[rng.randrange(len(text))] = rng.choice(["grobnak", "grobnaks", "wurk"])
+        elif i % 7 == 1:
+            text[0] = "wurk"
+        rows.append((i, " ".join(text)))
+    weights, score = brute_toxicity(rows, labels)
+    lexicon = toxicity.fit(documents(rows), spark.createDataFrame([(i, 1, x) for i, x in labels.items()], "doc_id long, quality int, toxic int"))
+    assert weights and {e: round(w, 9) for e, w in lexicon.weights.items()} == {e: round(w, 9) for e, w in weights.items()}
+    got = {r.doc_id: r.score for r in toxicity.score_documents(documents(rows), lexicon).collect()}
+    assert all(abs(got[i] - score(t)) < 0.02 for i, t in rows)
+
+
+def test_toxicity_learns_from_all_but_copies(spark, documents):
+    base = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    near = base.replace("wab", "zzz")
+    assert toxicity.alike_key(base) == toxicity.alike_key(base.upper()) != toxicity.alike_key("other " + base[600:])
+    assert sum(a == b for a, b in zip(toxicity.alike_key(base).split("-"), toxicity.alike_key(near).split("-"), strict=True)) >= 2
+    assert toxicity.alike_key(None) == toxicity.alike_key("") == toxicity.alike_key(" 89 ") != toxicity.alike_key("a b")
+    # Texts with most words, even long passages, in common are no copies of one another.
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(base.split()) for _ in range(2000)) + " shared words that stand at the end of all" for _ in range(200)]
+    assert len({toxicity.alike_key(t) for t in texts}) == 200
+    # A text of which there are many copies counts once: its own words are no entries.
+    rows = [(i, "vorbex melgurt is an odd text with words of its own zigrat") for i in range(150)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    known = spark.createDataFrame([(i, 1, int(i < 1000 or i % 10 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert not any("vorb" in e or "zigr" in e for e in toxicity.fit(documents(rows), known).weights)
+
+
 def test_toxicity_query(spark, sf_dir):
     rows = queries.op6_toxicity(spark, sf_dir).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
