@@ -12,16 +12,23 @@ that stays inside the band.
 
 Texts are compared in lower case with white space runs as one space.
 
-Defined results: null and empty texts and items match nothing; items under
-``Q`` characters carry no evidence and are skipped; texts are searched whole;
-repeated rows are reported each; an item found several times in a text gives
-one row; other columns are ignored.
+A window is looked for inside each text alone, so results do not depend on
+which texts are searched together.  Items under ``Q`` bytes have no q-gram;
+they are matched exactly, as whole words, by an Aho-Corasick automaton.
+
+Defined results: null and empty texts and items match nothing; texts of any
+length are searched whole; repeated rows are reported each; an item found
+several times in a text gives one row (one for each part that is found, if it
+is longer than ``BLOCK_CHARS`` and so comes in parts); an empty table of texts
+or items gives no rows, and keeps all rows where leaks are dropped; other
+columns are ignored, or kept where rows are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,13 +43,12 @@ Q, WINDOW, STEP, PER_EDIT = 12, 120, 60, 15
 #: Length, step and allowed edits of the short windows, and the length of a stretch that always holds one.
 SHORT, SHORT_STEP, SHORT_EDITS = 50, 10, 2
 FRAGMENT = SHORT + SHORT_STEP - 1
-#: Characters of benchmark items matched at a time; larger benchmarks go in blocks.  Each gives about six window q-grams.
-BLOCK_CHARS = 2_500_000
+#: Bytes of benchmark items matched at a time; larger benchmarks go in blocks.  A block takes some 25 bytes for each.
+BLOCK_CHARS = 8_000_000
 #: Characters of text searched at a time.
 CHUNK = 2_000_000
 #: Diagonals between texts that are searched together: no band reaches two of them.
 _GAP = 2 * WINDOW
-_SLOTS = 22
 
 
 def normalise(text: str | None) -> bytes:
@@ -84,41 +90,84 @@ def banded_distance(window: bytes, text: bytes, low: int, high: int, limit: int)
     return min(row)
 
 
-def _windows(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """Windows of an item with the edits allowed in each: the long ones (or the whole item), then the short ones."""
-    for size, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
-        if size == SHORT and len(data) <= SHORT:
-            return
-        last = max(0, len(data) - size)
-        for start in dict.fromkeys([*range(0, max(1, last), step), last]):
-            part = data[start : start + size]
-            if len(part) >= Q:
-                yield part, SHORT_EDITS if size == SHORT else min(len(part) // PER_EDIT, (len(part) - Q) // Q)
+def _starts(n: int, size: int, step: int) -> np.ndarray:
+    """Starts of an item's windows of one kind: every ``step``, and the last."""
+    last = max(0, n - size)
+    return np.unique(np.append(np.arange(0, max(1, last), step), last))
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers ``first[i]`` to ``first[i] + n[i] - 1`` for each ``i``, and the ``i`` of each."""
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n) + first[owner], owner
 
 
 class Benchmark:
-    """Windows of benchmark items, ready to be searched for."""
+    """Benchmark items, ready to be searched for: each place's q-gram, and the windows that hold it."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.windows: list[tuple[int, bytes, int, int]] = []  # item, bytes, allowed edits, least shared q-grams
-        keys, owners, places = [], [], []
-        for item, text in items:
+        self.items = [i for i, _ in items]
+        self.short: dict[str, list[int]] = {}
+        held, size = [], 0
+        begin, length, edits, owner = [], [], [], []
+        key, place, ranges = [], [], []
+        n_windows = 0
+        for number, (_, text) in enumerate(items):
             data = normalise(text)
-            for part, edits in _windows(data):
-                k = grams(np.frombuffer(part, np.uint8))
-                keys.append(k)
-                owners.append(np.full(len(k), len(self.windows), np.int64))
-                places.append(np.arange(len(k)))
-                self.windows.append((item, part, edits, len(part) - Q + 1 - edits * Q))
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.keys, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
-        self.owner = np.concatenate(owners)[order] if keys else np.zeros(0, np.int64)
-        self.place = np.concatenate(places)[order] if keys else np.zeros(0, np.int64)
-        self.slots = np.zeros(1 << _SLOTS, bool)
-        self.slots[(self.keys >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-        self.edits = np.array([w[2] for w in self.windows], np.int64)
-        self.least = np.array([w[3] for w in self.windows], np.int64)
+            if len(data) < Q:
+                if data:
+                    self.short.setdefault(data.decode(), []).append(number)
+                continue
+            held.append(data)
+            at = np.arange(len(data) - Q + 1)
+            key.append(grams(np.frombuffer(data, np.uint8)))
+            place.append(at + size)
+            for width, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
+                if width == SHORT and len(data) <= SHORT:
+                    ranges.append((np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)))
+                    continue
+                starts, width_here = _starts(len(data), width, step), min(width, len(data))
+                low = np.searchsorted(starts + width_here, at + Q, "left")
+                ranges.append((low + n_windows, np.searchsorted(starts, at, "right") - low))
+                n_windows += len(starts)
+                begin.append(starts + size)
+                length.append(np.full(len(starts), width_here))
+                edits.append(np.full(len(starts), SHORT_EDITS if width == SHORT else min(width_here // PER_EDIT, (width_here - Q) // Q)))
+                owner.append(np.full(len(starts), number))
+            size += len(data)
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.data = b"".join(held)
+        self.begin, self.length, self.edits, self.owner = (join(x, np.int64) for x in (begin, length, edits, owner))
+        self.least = self.length - Q + 1 - self.edits * Q
+        keys = join(key, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.place = keys[order], join(place, np.int32)[order]
+        #: For each sorted q-gram the windows that hold it, long ones and short ones: first and number.
+        self.held_by = [(join([r[0] for r in ranges[k::2]], np.int32)[order], join([r[1] for r in ranges[k::2]], np.int8)[order]) for k in (0, 1)]
+        self.bits = min(26, max(16, int(8 * len(keys)).bit_length()))
+        self.slots = np.zeros(1 << self.bits, bool)
+        self.slots[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self._automaton = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_automaton": None}
+
+    @property
+    def windows(self) -> list[tuple[int, bytes, int, int]]:
+        """Item, bytes, allowed edits and least shared q-grams of each window."""
+        return [(self.items[o], self.data[b : b + n], e, k) for o, b, n, e, k in zip(*(x.tolist() for x in (self.owner, self.begin, self.length, self.edits, self.least)), strict=True)]
+
+    def short_items(self, data: bytes) -> set[int]:
+        """Numbers of the short items that stand in a normalised text as whole words."""
+        if not self.short or not data:
+            return set()
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for text, numbers in self.short.items():
+                self._automaton.add_word(f" {text} ", numbers)
+            self._automaton.make_automaton()
+        return {n for _, numbers in self._automaton.iter(f" {data.decode()} ") for n in numbers}
 
     def search(self, data: bytes, starts: np.ndarray | None = None) -> list[tuple[int, int, int]]:
         """``(window, place, edits)`` of windows found in ``data``.
@@ -134,18 +183,24 @@ class Benchmark:
         spread = starts + np.arange(len(starts)) * _GAP
         array = np.frombuffer(data, np.uint8)
         key = grams(array)
-        at = np.flatnonzero(self.slots[(key >> np.uint64(64 - _SLOTS)).astype(np.int64)])
-        found = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-        real = self.keys[found] == key[at]
-        at, found = at[real], found[real]
+        at = np.flatnonzero(self.slots[(key >> np.uint64(64 - self.bits)).astype(np.int64)])
+        first = np.searchsorted(self.keys, key[at], "left")
+        n = np.searchsorted(self.keys, key[at], "right") - first
+        real = n > 0
+        at, first, n = at[real], first[real], n[real]
         if not len(at):
             return []
-        n = self.count[found]
-        ends = np.cumsum(n)
-        index = np.repeat(self.first[found] - (ends - n), n) + np.arange(ends[-1])
-        window = self.owner[index]
+        entry, which = _ragged(first, n)
+        at = at[which]
+        windows, places, texts_at = [], [], []
+        for low, number in self.held_by:
+            w, which = _ragged(low[entry].astype(np.int64), number[entry].astype(np.int64))
+            windows.append(w)
+            places.append(self.place[entry][which] - self.begin[w])
+            texts_at.append(at[which])
+        window, place, at = np.concatenate(windows), np.concatenate(places), np.concatenate(texts_at)
         text = np.searchsorted(starts, at, "right") - 1
-        diagonal = np.repeat(at + text * _GAP, n) - self.place[index] + WINDOW  # never negative
+        diagonal = at + text * _GAP - place + WINDOW  # never negative
         step = self.edits[window] + 1
         band = diagonal // step
         # Bands of two steps that overlap by one: each diagonal lies in two of them.
@@ -164,7 +219,7 @@ class Benchmark:
             low, high = b * s - WINDOW, (b + 2) * s - 1 - WINDOW
             j = int(np.searchsorted(spread, high + WINDOW, "right")) - 1
             low, high = low - j * _GAP, high - j * _GAP
-            _, part, edits, _ = self.windows[w]
+            part, edits = self.data[self.begin[w] : self.begin[w] + self.length[w]], int(self.edits[w])
             begin = max(int(starts[j]), low)
             region = data[begin : max(begin, min(int(stops[j]), high + len(part) + edits))]
             p = region.find(part)
@@ -185,11 +240,13 @@ class Benchmark:
             found: dict[tuple[int, int], dict[int, int]] = {}
             for w, p, d in self.search(data, begins):
                 where = int(np.searchsorted(begins, p, "right")) - 1
-                item = self.windows[w][0]
-                of = found.setdefault((starts[where], item), {})
+                of = found.setdefault((starts[where], int(self.owner[w])), {})
                 of[w] = min(d, of.get(w, d))
-            for (i, item), of in sorted(found.items()):
-                yield i, item, len(of), min(of.values())
+            for i, h in zip(starts, held, strict=True):
+                for number in self.short_items(h):
+                    found[i, number] = {-1: 0}
+            for (i, number), of in sorted(found.items()):
+                yield i, self.items[number], len(of), min(of.values())
 
         for i, t in enumerate(texts):
             data = normalise(t)
@@ -204,14 +261,22 @@ class Benchmark:
 
 
 def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Benchmark]:
-    """The benchmark in blocks of bounded size, one after the other."""
+    """The benchmark in blocks of bounded size, one after the other.
+
+    An item that is longer than a block is cut into parts that overlap by a
+    window, so every stretch of ``FRAGMENT`` bytes is in one of them.
+    """
     held, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        size += len(r.text or "")
-        if size >= chars:
-            yield Benchmark(held)
-            held, size = [], 0
+        data = normalise(r.text)
+        step = max(chars, 2 * WINDOW)
+        for part in range(0, max(1, len(data) - WINDOW), step):
+            text = data[part : part + step + WINDOW].decode(errors="ignore") if len(data) > step else data.decode()
+            held.append((r.item_id, text))
+            size += len(text)
+            if size >= chars:
+                yield Benchmark(held)
+                held, size = [], 0
     if held:
         yield Benchmark(held)
 

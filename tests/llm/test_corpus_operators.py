@@ -92,7 +92,7 @@ def edited(rng, text, n):
 def test_decontamination(spark, documents):
     rng = random.Random(3)
     items = [(i, syllables(rng, 35)) for i in range(20)] + [(90, None), (91, "short"), (92, "")]
-    rows, planted = [(1000, None), (1001, ""), (1002, "short"), (1003, syllables(rng, 20_000))], set()
+    rows, planted = [(1000, None), (1001, ""), (1002, "is  SHORT\n"), (1003, syllables(rng, 20_000)), (1004, "shorty unshort")], {(1002, 91)}
     for i in range(120):
         text = syllables(rng, 120)
         if i % 3 == 0:
@@ -104,6 +104,7 @@ def test_decontamination(spark, documents):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontamination.find_leaks(documents(rows), benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in found} == planted and len(found) == len(planted)
+    assert {(r.doc_id, r.item_id) for r in found} >= {(1002, 91)}
     clean = decontamination.without_leaks(documents(rows), benchmark)
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in planted}
     assert clean.columns == documents(rows).columns
@@ -159,6 +160,52 @@ def test_edited_items_at_the_start_of_texts(length):
         assert not list(known.leaks(halves))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_equal_full_alignments_of_each_text(spark, documents, seed):
+    """Items whole or edited at starts and ends, cut over neighbours, short ones: as by full alignments, however texts are dealt."""
+    rng = random.Random(40 + seed)
+    items = [(i, syllables(rng, 14 + 3 * i)) for i in range(4)] + [(8, "ba"), (9, "lo ri"), (10, None), (11, " ")]
+    texts: list[str | None] = [None, "", "ba", "b a", "xba", "lo  RI", "lo rix", "ba\nlo ri ba"]
+    for _, item in items[:4]:
+        whole = edited(rng, item, rng.randrange(4))
+        texts += [whole, f"{whole} end", f"start {whole}", syllables(rng, 12), item[: len(item) // 2], item[len(item) // 2 :], item[:40], item[-40:], syllables(rng, 30)]
+    want = set()
+    for i, t in enumerate(texts):
+        data = decontamination.normalise(t)
+        for item, text in items:
+            known = decontamination.Benchmark([(item, text)])
+            if any(least_edits(part, data) <= edits for _, part, edits, _ in known.windows):
+                want.add((i, item))
+            short = " ".join((text or "").lower().split())
+            if 0 < len(short) < decontamination.Q and f" {short} " in f" {data.decode()} ":
+                want.add((i, item))
+    known = decontamination.Benchmark(items)
+    assert {(i, item) for i, item, *_ in known.leaks(texts)} == want
+    assert {(i, item) for i, t in enumerate(texts) for _, item, *_ in known.leaks([t])} == want
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    assert {(order[i], item) for i, item, *_ in known.leaks([texts[i] for i in order])} == want
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for parts in (1, 7):
+        found = decontamination.find_leaks(documents(list(enumerate(texts))).repartition(parts), benchmark).collect()
+        assert sorted((r.doc_id, r.item_id) for r in found) == sorted(want)
+        kept = decontamination.without_leaks(documents(list(enumerate(texts))).repartition(parts), benchmark)
+        assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if not any(j == i for j, _ in want)]
+
+
+def test_huge_items_come_in_parts(spark):
+    rng = random.Random(21)
+    item = syllables(rng, 900)
+    benchmark = spark.createDataFrame([(1, item), (2, "other words")], "item_id long, text string")
+    parts = list(decontamination.blocks(benchmark, chars=300))
+    assert len(parts) > 5 and all(len(b.data) < 800 for b in parts)
+    n = decontamination.FRAGMENT
+    for at in range(0, len(item) - n, 7):
+        text = item[at : at + n]
+        if text == text.strip():
+            assert any(list(b.leaks([f"zz {text} zz"])) for b in parts)
+
+
 def test_fragments_of_items():
     """Any stretch of ``FRAGMENT`` bytes of an item is found, wherever it lies, also with a few edits in it; much shorter ones are not."""
     rng = random.Random(9)
