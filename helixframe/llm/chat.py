@@ -1,23 +1,30 @@
 """Chat formatting by event-sourced reconstruction.
 
-A conversation is a log of events.  The log is partitioned by conversation,
-sorted by turn and sequence, and folded into final messages in one streaming
-pass that holds one message at a time; the messages are then rendered.
+A conversation is a log of events.  The log is partitioned by conversation and
+sorted by sequence, and folded into final messages, which are then rendered.
 
-Events (``op``): ``message`` starts a message, ``delta`` appends text to the
-turn's latest message, ``edit`` replaces its text, ``regenerate`` empties it.
-An edit or regeneration also cancels what was logged for later turns before
-it, as those answered a text that no longer stands.  A ``delta``, ``edit`` or
-``regenerate`` for a turn without message starts one.
+Events (``op``): ``message`` starts a message in its turn, ``delta`` appends
+text to the turn's latest message, ``edit`` replaces its text, ``regenerate``
+empties it.  An edit or regeneration also cancels all that was logged before
+it for later turns, as that answered a text that no longer stands.  A
+``delta``, ``edit`` or ``regenerate`` for a turn without message starts one.
+
+The fold reads the sorted log from its end: there every event that cancels
+others is met before them, so each event's fate is known when it comes, and no
+text is held.  What is left is put in order of turns, still in the same
+partition, and streamed into messages one at a time.  A conversation of any
+size thus takes one task's time but not its memory.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each message.  Inside
 roles and texts a backslash is doubled and ``<|`` becomes ``<\\|``, so that no
 control string can occur in them and parsing gives them back exactly.
 
 Defined results: null role, text or op count as empty text, empty text and
-``message``; a null conversation id is an id of its own; rows that tie in turn
-and sequence go by role, then text; repeated rows are kept as further
-messages; an empty table gives an empty table; other columns are ignored.
+``message``; a null conversation id is an id of its own; a null turn comes
+before all others, a null sequence too; events that tie in sequence go by turn,
+op, role, text; repeated rows are events of their own, so a message logged twice
+is there twice; texts of any length are kept whole; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema
@@ -59,49 +66,95 @@ def parse(rendered: str) -> Iterator[tuple[str, str]]:
         yield unescape(m[1]), unescape(m[2])
 
 
-def fold(events: Iterable[tuple]) -> Iterator[tuple]:
-    """``(conv_id, turn, role, text)`` of final messages from sorted events.
+def surviving(events: Iterable[tuple]) -> Iterator[tuple]:
+    """``(conv_id, turn, at, starts, role, text)`` of the events that count, from a log read backwards.
 
-    Holds the current turn's messages only.
+    ``events``: ``conv_id, turn, seq, op, role, text``, each conversation from
+    its last event to its first.  ``at`` orders what comes out as it was
+    logged; ``starts`` marks the start of a message.  Held are the turns whose
+    text a later event replaces, and the least turn with such an event.
     """
-    conv, turn, cut, pending = object(), None, None, []
-
-    def flush():
-        for role, parts in pending:
-            yield conv, turn, role, "".join(parts)
-        pending.clear()
-
-    last_cut = None
-    for c, t, seq, op, role, text in events:
-        if c != conv or t != turn:
-            yield from flush()
-            if c != conv:
-                cut = last_cut = None
-            cut = max((x for x in (cut, last_cut) if x is not None), default=None)
-            last_cut = None
-            conv, turn = c, t
-        if cut is not None and seq is not None and seq < cut:
+    conv, at, cut, replaced = object(), 0, None, set()
+    for c, turn, _, op, role, text in events:
+        if c != conv:
+            conv, at, cut = c, 0, None
+            replaced.clear()
+        at -= 1
+        place = (turn is not None, turn or 0)
+        if cut is not None and place > cut:
             continue
         op, role, text = op or "message", role or "", text or ""
-        if op == "message" or not pending:
-            pending.append((role, [text]))
-        elif op == "delta":
-            pending[-1][1].append(text)
-        else:
-            pending[-1][1][:] = [text] if op == "edit" else []
-        if op in ("edit", "regenerate"):
-            last_cut = max(seq, last_cut) if last_cut is not None and seq is not None else seq
-    yield from flush()
-
-
-def as_events(turns: DataFrame, text: Column | None = None) -> DataFrame:
-    """One ``message`` event for each row of a table of turns."""
-    return turns.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("op"), "role", "text")
+        starts = op not in ("delta", "edit", "regenerate")
+        if place in replaced:
+            text = ""
+        if starts:
+            replaced.discard(place)
+        elif op != "delta":
+            replaced.add(place)
+            cut = place if cut is None else min(cut, place)
+        if op == "regenerate":
+            text = ""
+        yield conv, turn, at, starts, role, text
+
+
+def messages(events: Iterable[tuple]) -> Iterator[tuple]:
+    """``(conv_id, turn, role, text)`` of final messages, from surviving events by conversation, turn and place."""
+    of, role, parts = None, "", []
+    for conv, turn, _, starts, r, text in events:
+        if of != (conv, turn) or starts:
+            if of is not None:
+                yield *of, role, "".join(parts)
+            of, role, parts = (conv, turn), r, []
+        parts.append(text)
+    if of is not None:
+        yield *of, role, "".join(parts)
+
+
+def as_events(turns: DataFrame) -> DataFrame:
+    """The event log of a table of turns, ``conv_id, turn, role, text``, as a chat would have written it.
+
+    Messages are numbered in order of turn, role and text; sequence numbers run
+    through the conversation.  By a hash of the message it is streamed as
+    deltas, drafted, answered and then edited, generated twice, or logged whole.
+    """
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("way", F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(4))).withColumn("n", F.row_number().over(in_order).cast("long"))
+    turn, text = F.col("turn"), F.col("text")
+    third = F.floor(F.length("text") / 3).cast("int")
+    first, second, last = F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))
+    empty, no_role = F.lit(""), F.lit(None).cast("string")
+    after = F.try_add(turn, F.lit(1)).cast(turns.schema["turn"].dataType)
+
+    def event(op: str, role, text, turn=turn):
+        return F.struct(turn.alias("turn"), F.lit(op).alias("op"), role.alias("role"), text.alias("text"))
+
+    opened = event("message", F.col("role"), empty)
+    streamed = F.array(opened, event("delta", no_role, first), event("delta", no_role, second), event("delta", no_role, last))
+    answered = event("message", F.lit("assistant"), F.lit("an answer to the draft"), after)
+    edited = F.array(opened, event("delta", no_role, F.concat(F.lit("draft: "), first)), F.when(after.isNotNull(), answered), event("edit", no_role, text))
+    twice = F.array(opened, event("delta", no_role, last), event("regenerate", no_role, no_role), event("delta", no_role, first), event("delta", no_role, F.concat(second, last)))
+    way = F.col("way")
+    log = F.when(way == 0, streamed).when(way == 1, edited).when(way == 2, twice).otherwise(F.array(event("message", F.col("role"), text)))
+    exploded = rows.select("conv_id", "n", F.posexplode(log).alias("k", "e")).where(F.col("e").isNotNull())
+    return exploded.select("conv_id", "e.turn", (F.col("n") * 8 + F.col("k")).alias("seq"), "e.op", "e.role", "e.text")
+
+
+def _folded(events: DataFrame) -> DataFrame:
+    """Surviving events of each conversation in order of its messages, each conversation in one partition.
+
+    The window both asks for the partitioning, which ``as_events`` gives already, and sorts.
+    """
+    backwards = Window.partitionBy("conv_id").orderBy(*[F.desc(c) for c in ("seq", "turn", "op", "role", "text")])
+    log = events.select(*_EVENT, F.row_number().over(backwards).alias("n"))
+    kinds = {f: events.schema[f].dataType.simpleString() for f in ("conv_id", "turn")}
+    target = events.sparkSession.createDataFrame([], f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, at long, starts boolean, role string, text string").schema
+    schema = arrow_schema(target)
 
+    def run(batches):
+        yield from _batches(surviving(row[:6] for row in _rows(batches)), schema)
 
-def _sorted(events: DataFrame) -> DataFrame:
-    key = ["conv_id", "turn", "seq", "role", "text"]
-    return events.select(*_EVENT).repartition("conv_id").sortWithinPartitions(*key)
+    return log.mapInArrow(run, target).sortWithinPartitions("conv_id", "turn", "at")
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -135,21 +188,21 @@ def format_messages(events: DataFrame) -> DataFrame:
 
     def run(batches):
         def out():
-            for conv, turn, role, text in fold(_rows(batches)):
+            for conv, turn, role, text in messages(_rows(batches)):
                 rendered, begin, end = render(role, text)
                 yield conv, turn, role, text, rendered, *((begin, end) if role == "assistant" else (None, None))
 
         yield from _batches(out(), schema)
 
-    return _sorted(events).mapInArrow(run, target)
+    return _folded(events).mapInArrow(run, target)
 
 
 def conversation_digests(events: DataFrame) -> DataFrame:
     """One row for each conversation, read back from what ``format_messages`` renders.
 
     The digests run over the messages in order, so a conversation is one
-    stream; it is never held, only the digest states are.  It follows the same
-    sort as the fold, without a second shuffle.
+    stream; it is never held, only the digest states are.  All of it, the log's
+    own order included, takes one shuffle.
     """
     spark = events.sparkSession
     kind = events.schema["conv_id"].dataType.simpleString()
@@ -159,7 +212,7 @@ def conversation_digests(events: DataFrame) -> DataFrame:
     def run(batches):
         def out():
             conv, state = object(), None
-            for c, _, role, text in fold(_rows(batches)):
+            for c, _, role, text in messages(_rows(batches)):
                 if c != conv:
                     if state:
                         yield conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
@@ -178,4 +231,4 @@ def conversation_digests(events: DataFrame) -> DataFrame:
 
         yield from _batches(out(), schema)
 
-    return _sorted(events).mapInArrow(run, target)
+    return _folded(events).mapInArrow(run, target)

@@ -73,6 +73,12 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def behind(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, a view of a ``stored`` table, so that discarding the view discards the table."""
+    df._helix_path = table._helix_path
+    return df
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a ``stored`` frame that nothing reads any more."""
     path = getattr(df, "_helix_path", None)

@@ -145,7 +145,7 @@ class Benchmark:
         self.keys, self.place = keys[order], join(place, np.int32)[order]
         #: For each sorted q-gram the windows that hold it, long ones and short ones: first and number.
         self.held_by = [(join([r[0] for r in ranges[k::2]], np.int32)[order], join([r[1] for r in ranges[k::2]], np.int8)[order]) for k in (0, 1)]
-        self.bits = min(26, max(16, int(8 * len(keys)).bit_length()))
+        self.bits = min(26, max(22, int(8 * len(keys)).bit_length()))
         self.slots = np.zeros(1 << self.bits, bool)
         self.slots[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self._automaton = None

@@ -20,14 +20,16 @@ class, then whatever still joins two components.  Where a bucket holds classes
 of different components after that, all members of these components go through
 an exact search: two linked sets share an element of their prefixes (their
 rarest parts under one order), so cross-component pairs from prefix postings,
-filtered by size and place, are all that can be left.  Components come from
-alternating large-star and small-star steps on written tables.
+filtered by size and place, are all that can be left.  A posting list that is
+too long for one task is dealt out by size range and pairs of pieces.
+Components come from alternating large-star and small-star steps on written
+tables.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing; a row without id is linked with nothing, has no
-component and is kept; rows that share an id are one document; repeated rows
-get equal results; texts of any length are used whole; an empty table gives an
-empty table; other columns are ignored.
+component and is kept; rows that share an id are one document, whose texts all
+link it; repeated rows get equal results; texts of any length are used whole;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, held, slices, stored
+from .common import arrow_schema, behind, discard, held, slices, stored
 
 #: Words in a shingle, and least similarity of linked sets in per cent.
 WORDS, PERCENT = 5, 75
@@ -50,10 +52,14 @@ WORDS, PERCENT = 5, 75
 BINS, ROWS, SKETCH = 256, 5, 128
 #: Standard errors below the least similarity at which a candidate is dropped unseen.
 SPREAD = 5.0
-#: Classes sampled to tell common hashes, and common hashes told apart, at most.
-SAMPLE, COMMON = 4096, 200_000
-#: Members that share one copy of a star's centre while they are confirmed.
-CHUNK = 256
+#: Bits of a hash by which its commonness is counted, and commonest values told apart, at most.
+SLOT_BITS, COMMON = 22, 200_000
+#: Members of a posting list that one task compares; longer lists are dealt out in pieces of this size.
+LIST = 4096
+#: Copies of a component's mark, so that one with most of the members is joined in several tasks.
+SALT = 16
+#: Members that share one copy of a star's centre while they are confirmed, and classes that are linked at once in a map task.
+CHUNK, HEADS = 256, 10_000
 _CACHE_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -209,7 +215,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     rows = classes.where("n > 0").select("c", "n", "bands")
 
     def local(batches):
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, HEADS):
             edges = _edges_of(*_bucket_rows(batch))
             yield _table(edge_schema, list(zip(*edges, strict=True)) or [[], []])
 
@@ -219,7 +225,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         With both, ranges of different batches that could hold a pair of fitting
         size are neighbours, or have neighbours between them, in the joined order.
         """
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, HEADS):
             b, c, n = _bucket_rows(batch)
             keep = np.zeros(len(b), bool)
             start = np.append(True, b[1:] != b[:-1])
@@ -358,7 +364,8 @@ def components(links: DataFrame) -> DataFrame:
         parents = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
         loose = parents.where("low <> high").select("u").unionByName(edges.join(parents.select(F.col("u").alias("v")), "v", "left_semi").select("u"))
         if loose.isEmpty():
-            return edges.select(F.col("u").alias("c"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component")).distinct())
+            found = edges.select(F.col("u").alias("c"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component")).distinct())
+            return behind(found, edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -370,22 +377,30 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (_mix(hashes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _prefix(hashes: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The rarest part of a set that any linked set must meet, in a fixed order: by count in the sample, then by hash."""
+    """The rarest part of a set that any linked set must meet, in a fixed order: by the count of the hash's slot, then by hash."""
     n = len(hashes)
-    known = np.minimum(np.searchsorted(common, hashes), len(common) - 1) if len(common) else np.zeros(n, np.int64)
-    rank = np.where(common[known] == hashes, count[known], 0) if len(common) else known
+    slot = _slot(hashes)
+    known = np.minimum(np.searchsorted(common, slot), max(0, len(common) - 1))
+    rank = np.where(common[known] == slot, count[known], 0) if len(common) else np.zeros(n, np.int64)
     return hashes[np.lexsort((hashes, rank))][: n + (-PERCENT * n // 100) + 1]
 
 
-def _crossing_pairs(c: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of different components from the sets that share a prefix hash, if sizes and places leave room for enough overlap."""
+def _crossing_pairs(c: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, side: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of different components from the sets that share a prefix hash, if sizes and places leave room for enough overlap.
+
+    Two members whose ``side`` has a bit in common are not compared.
+    """
     for i in range(0, len(c), 512):
-        s = slice(i, i + 512)
-        total = n[s, None] + n[None, : i + 512]
-        room = np.minimum((n - at)[s, None], (n - at)[None, : i + 512])
-        ok = (room >= -(-PERCENT * total // (100 + PERCENT))) & (comp[s, None] != comp[None, : i + 512])
-        ok &= 100 * np.minimum(n[s, None], n[None, : i + 512]) >= PERCENT * np.maximum(n[s, None], n[None, : i + 512])
+        s, t = slice(i, i + 512), slice(0, i + 512)
+        total = n[s, None] + n[None, t]
+        room = np.minimum((n - at)[s, None], (n - at)[None, t])
+        ok = (room >= -(-PERCENT * total // (100 + PERCENT))) & (comp[s, None] != comp[None, t]) & ((side[s, None] & side[None, t]) == 0)
+        ok &= 100 * np.minimum(n[s, None], n[None, t]) >= PERCENT * np.maximum(n[s, None], n[None, t])
         x, y = np.nonzero(ok)
         x += i
         later = x > y
@@ -393,29 +408,72 @@ def _crossing_pairs(c: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarr
         yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
+def _pairs_of_lists(postings: DataFrame, key: list[str]) -> DataFrame:
+    """Crossing pairs within each list of ``key``; pairs leave as they come, and a list of one component is passed over."""
+    edge = postings.sparkSession.createDataFrame([], "a long, b long").schema
+    edge_schema = arrow_schema(edge)
+
+    def run(batches):
+        parts: list[list[np.ndarray]] = []
+
+        def close():
+            if not parts:
+                return
+            c, n, at, comp, side = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+            parts.clear()
+            if len(c) > 1 and (comp != comp[0]).any():
+                for found in _crossing_pairs(c, n, at, comp, side):
+                    if len(found):
+                        found = np.unique(found, axis=0)
+                        yield _table(edge_schema, [found[:, 0], found[:, 1]])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            keys, rest = columns[: len(key)], columns[len(key) :]
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            new[0] = True
+            starts = np.flatnonzero(new)
+            for s, e in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
+                at = tuple(k[s] for k in keys)
+                if at != last:
+                    yield from close()
+                    last = at
+                parts.append([x[s:e] for x in rest])
+        yield from close()
+
+    rows = postings.select(*key, "c", "n", "at", "component", "side")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, edge)
+
+
 def _remaining_edges(members: DataFrame) -> DataFrame:
     """Every edge that could still join two components, among ``c, component, text``.
 
     Exact: linked sets share an element of their prefixes under any fixed order
-    of the hashes.  The order only decides how few pairs come out; it puts
-    hashes last that are common in a sample of about ``SAMPLE`` members.
+    of the hashes.  The order only decides how few pairs come out: hashes are
+    counted over all members, by slot, and common ones come last.
     """
     spark = members.sparkSession
-    counted = spark.createDataFrame([], "h long, k long").schema
+    counted = spark.createDataFrame([], "slot long, k long").schema
     counted_schema = arrow_schema(counted)
 
     def count(batches):
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(0)]
-            h, k = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield _table(counted_schema, [h.view(np.int64), k])
-
-    share = SAMPLE / max(SAMPLE, members.count())
-    sample = members.where(F.pmod(F.xxhash64("c"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))).select("text")
-    top = sample.mapInArrow(count, counted).groupBy("h").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "h").limit(COMMON).collect()
-    common = np.array([r.h for r in top], np.int64).view(np.uint64)
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in slices(batches):
+            for t in batch.column(0):
+                np.add.at(total, _slot(shingles(t.as_py())), 1)
+        slot = np.flatnonzero(total)
+        for i in range(0, len(slot), 100_000):
+            yield _table(counted_schema, [slot[i : i + 100_000], total[slot[i : i + 100_000]]])
+
+    top = members.select("text").mapInArrow(count, counted).groupBy("slot").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "slot").limit(COMMON).collect()
+    common = np.array([r.slot for r in top], np.int64)
     order = np.argsort(common)
-    # SAMPLE and COMMON bound it.
+    # COMMON bounds it.
     shared = spark.sparkContext.broadcast((common[order], np.array([r.k for r in top], np.int64)[order]))
     posting = spark.createDataFrame([], "h long, c long, n int, at int, component long").schema
     posting_schema = arrow_schema(posting)
@@ -431,44 +489,36 @@ def _remaining_edges(members: DataFrame) -> DataFrame:
             if out[0]:
                 yield _table(posting_schema, [np.concatenate(o).astype(k) for o, k in zip(out, (np.int64, np.int64, np.int32, np.int32, np.int64), strict=True)])
 
-    edge = spark.createDataFrame([], "a long, b long").schema
-    edge_schema = arrow_schema(edge)
-
-    def pairs(batches):
-        """One list of postings at a time; lists of one component are passed over."""
-        parts: list[list[np.ndarray]] = []
-        found: list[np.ndarray] = []
-
-        def close():
-            if len(parts) > 1 or parts and len(parts[0][0]) > 1:
-                c, n, at, comp = (np.concatenate(x) for x in zip(*parts, strict=True))
-                if len(c) > 1 and (comp != comp[0]).any():
-                    found.extend(_crossing_pairs(c.astype(np.int64), n.astype(np.int64), at.astype(np.int64), comp))
-            parts.clear()
-
-        def emit():
-            distinct = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            found.clear()
-            return _table(edge_schema, [distinct[:, 0], distinct[:, 1]])
-
-        last = None
-        for batch in batches:
-            h, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            if not len(h):
-                continue
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            ends = np.append(starts[1:], len(h))
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if h[s] != last:
-                    close()
-                    last = h[s]
-                parts.append([x[s:e] for x in rest])
-            if sum(map(len, found)) > 100_000:
-                yield emit()
-        close()
-        yield emit()
-
-    return members.select("c", "component", "text").mapInArrow(post, posting).repartition("h").sortWithinPartitions("h").mapInArrow(pairs, edge).distinct()
+    postings = stored(members.select("c", "component", "text").mapInArrow(post, posting))
+    # Lists that join components at all; how long they are decides who compares them.
+    lists = postings.groupBy("h").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    lists = stored(lists.select("h", "m"))
+    short = postings.join(lists.where(F.col("m") <= LIST).select("h"), "h", "left_semi").withColumn("side", F.lit(0))
+    edges = _pairs_of_lists(short, ["h"])
+    long = lists.where(F.col("m") > LIST)
+    if not long.isEmpty():
+        edges = edges.unionByName(_pairs_of_lists(_dealt(postings, long), ["h", "size_range", "i", "j"]))
+    edges = stored(edges.distinct())
+    discard(postings)
+    discard(lists)
+    return edges
+
+
+def _dealt(postings: DataFrame, long: DataFrame) -> DataFrame:
+    """Long lists in parts ``h, size_range, i, j`` that hold each pair of fitting size once.
+
+    Sets of fitting size are in one size range or in neighbouring ones: a
+    member goes to its own range and, as a guest, to the next.  A range's members are
+    dealt into pieces, and each pair of pieces is a part.
+    """
+    pieces = F.ceil(F.col("m") / LIST).cast("int")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(PERCENT / 100))) + 1e-9).cast("int")
+    rows = postings.join(long, "h").withColumn("piece", F.pmod(F.xxhash64("c"), pieces).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1))))
+    first, second = F.least("piece", "other"), F.greatest("piece", "other")
+    # Guests are not compared with guests (bit 1), nor, in a part of two pieces, members of one piece (bits 2 and 3).
+    side = F.col("guest") + F.when(F.col("piece") == F.col("other"), F.lit(0)).when(F.col("piece") < F.col("other"), F.lit(2)).otherwise(F.lit(4))
+    return rows.select("h", (own + F.col("guest")).alias("size_range"), first.alias("i"), second.alias("j"), "c", "n", "at", "component", side.cast("int").alias("side"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -485,30 +535,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     # The likeliest partner of each class first; then what still joins two components.
     best = edges.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("best"))
-    links = stored(_confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts))
+    links = stored(_confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts).unionByName(_same_document(rows, classes)))
     found = components(links)
     # Components only grow: edges inside one are looked at no more.
     crossing = stored(_between(candidates, found).select("a", "b"))
     second = stored(_confirmed(edges.select("a", "b").join(crossing, ["a", "b"], "left_semi"), texts))
     if not second.isEmpty():
-        found = components(links := stored(links.unionByName(second)))
+        discard(found)
+        found = components(both := stored(links.unionByName(second)))
+        discard(links)
+        links = both
 
     # Last, components that a bucket brings together but no edge has joined: all their members, exactly.
     open_ = _between(crossing, found).select(F.explode(F.array("of_a", "of_b")).alias("component")).distinct()
-    members = texts.join(found, "c", "left").select("c", F.coalesce("component", "c").alias("component"), "text").join(open_, "component", "left_semi")
-    members = stored(members)
-    third = stored(_confirmed(_remaining_edges(members), texts))
+    # One component may hold most of the members: its mark goes to several tasks.
+    open_ = open_.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    members = texts.join(found, "c", "left").select("c", F.coalesce("component", "c").alias("component"), "text").withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALT)).cast("int"))
+    members = stored(members.join(open_, ["component", "salt"], "left_semi").select("c", "component", "text"))
+    remaining = _remaining_edges(members)
+    third = stored(_confirmed(remaining, texts))
     final = found if third.isEmpty() else components(links.unionByName(third))
 
     labelled = classes.select("k1", "k2", "n", "c").join(final, "c", "left").select("k1", "k2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "k1", "k2", "n").join(labelled, ["k1", "k2", "n"], "left")
     # An empty set is a component of its own.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    for used in (texts, edges, candidates, crossing, members):
+    for used in (texts, edges, candidates, crossing, members, remaining, links, second, third, *([found] if final is not found else [])):
         discard(used)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a < b`` between the classes of one id that has several texts."""
+    named = rows.where("doc_id IS NOT NULL AND n > 0")
+    several = named.groupBy("doc_id").agg(*[f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2", "n") for f in (F.min, F.max)])
+    several = stored(several.where("min_k1 <> max_k1 OR min_k2 <> max_k2 OR min_n <> max_n").select("doc_id"))
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    of = named.join(several, "doc_id", "left_semi").join(classes.select("k1", "k2", "n", "c"), ["k1", "k2", "n"]).select("doc_id", "c").distinct()
+    of = stored(of)
+    least = of.groupBy("doc_id").agg(F.min("c").alias("a"))
+    return of.join(least, "doc_id").where("a < c").select("a", F.col("c").alias("b")).distinct()
+
+
 def _between(edges: DataFrame, found: DataFrame) -> DataFrame:
     """Edges whose ends are in different components, with these as ``of_a`` and ``of_b``."""
     of = lambda end: found.select(F.col("c").alias(end), F.col("component").alias(f"of_{end}"))

@@ -21,22 +21,91 @@ def test_query_equals_sql(spark, sf_dir, name):
 EVENTS = "conv_id long, turn long, seq long, op string, role string, text string"
 
 
+def fold_forwards(log):
+    """Final messages of events, read from the first to the last and held whole: ``(conv_id, turn, role, text)``."""
+    order = lambda v: (v is not None, v if v is not None else 0)
+    out = []
+    conversations = {}
+    for e in log:
+        conversations.setdefault(e[0], []).append(e)
+    for conv, events in conversations.items():
+        held = []  # turn, role, parts
+        for _, turn, _, op, role, text in sorted(events, key=lambda e: (order(e[2]), order(e[1]), *(order(x) for x in e[3:]))):
+            op, text = op or "message", text or ""
+            mine = [m for m in held if m[0] == turn]
+            if op == "message" or not mine:
+                held.append(mine := [turn, role or "", []])
+                mine[2].append("" if op == "regenerate" else text)
+            elif op == "delta":
+                mine[-1][2].append(text)
+            else:
+                mine[-1][2][:] = [text] if op == "edit" else []
+            if op in ("edit", "regenerate"):
+                held = [m for m in held if order(m[0]) <= order(turn)]
+        out += [(conv, turn, role, "".join(parts)) for turn, role, parts in sorted(held, key=lambda m: order(m[0]))]
+    return out
+
+
+def by_value(rows):
+    return sorted(map(repr, rows))
+
+
 def test_chat_fold(spark):
     log = [
         (1, 0, 0, "message", "user", "hello"), (1, 0, 1, "delta", None, " there"), (1, 1, 2, "message", "assistant", "old"), (1, 0, 3, "edit", None, "hi"),
         (1, 1, 4, "message", "assistant", "a"), (1, 1, 5, "delta", None, "b"), (1, 1, 6, "regenerate", None, None), (1, 1, 7, "delta", None, "new"), (1, 1, 7, "delta", None, "new2"),
         (2, 0, 0, "delta", "user", "first"), (None, None, None, None, None, None), (3, 0, 0, "message", "user", "x"), (3, 0, 0, "message", "user", "x"),
+        (4, 2, 0, "message", "user", "late turn, early event"), (4, 0, 5, "message", "user", "early turn, late event"), (4, 1, None, "regenerate", "tool", "no text"),
     ]
     rng = random.Random(0)
     rng.shuffle(log)
     rows = chat.format_messages(spark.createDataFrame(log, EVENTS)).collect()
     got = sorted((r.conv_id or 0, r.turn or 0, r.role, r.text) for r in rows)
-    assert got == [(0, 0, "", ""), (1, 0, "user", "hi"), (1, 1, "assistant", "newnew2"), (2, 0, "user", "first"), (3, 0, "user", "x"), (3, 0, "user", "x")]
+    assert got == [
+        (0, 0, "", ""), (1, 0, "user", "hi"), (1, 1, "assistant", "newnew2"), (2, 0, "user", "first"), (3, 0, "user", "x"), (3, 0, "user", "x"),
+        (4, 0, "user", "early turn, late event"), (4, 1, "tool", ""), (4, 2, "user", "late turn, early event"),
+    ]
+    assert by_value((r.conv_id, r.turn, r.role, r.text) for r in rows) == by_value(fold_forwards(log))
     answer = next(r for r in rows if r.role == "assistant")
     assert answer.rendered[answer.loss_begin : answer.loss_end] == "newnew2"
     assert chat.format_messages(spark.createDataFrame([], EVENTS)).count() == 0
 
 
+def test_chat_fold_of_random_logs(spark):
+    rng = random.Random(17)
+    log = []
+    for conv in [*range(60), None]:
+        for _ in range(rng.randrange(1, 25)):
+            op = rng.choice(["message", "message", "delta", "delta", "edit", "regenerate", None])
+            log.append((conv, rng.choice([None, 0, 1, 2, 3]), rng.choice([None, *range(12)]), op, rng.choice([None, "user", "assistant"]), rng.choice([None, "a", "b", "c" * 9])))
+    # An edit without message starts one, with its own role; the brute force gives it the first event's.
+    events = spark.createDataFrame(log, EVENTS).repartition(3)
+    rows = chat.format_messages(events).collect()
+    keep = lambda rows: by_value((c, t, text) for c, t, _, text in rows)
+    assert keep((r.conv_id, r.turn, r.role, r.text) for r in rows) == keep(fold_forwards(log))
+    assert by_value((r.conv_id, r.turn, r.role, r.text) for r in rows) == by_value(fold_forwards(log))
+
+
+def test_chat_log_of_turns(spark):
+    """The log streams, edits and regenerates; folding it gives the turns back, in one shuffle, whatever they hold."""
+    rng = random.Random(18)
+    turns = [(c, t, rng.choice(["user", "assistant", None]), "".join(rng.choice("ab<|é\n\\") for _ in range(rng.randrange(30)))) for c in range(40) for t in range(6)]
+    turns += [(1, 0, "user", None), (1, 0, "user", None), (None, None, None, None), (2, None, "user", "x"), (3, 2**63 - 1, "user", "last"), (5, 0, "user", "word " * 200_000)]
+    frame = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, seq int").repartition(5)
+    log = chat.as_events(frame)
+    ops = {r.op: r["count"] for r in log.groupBy("op").count().collect()}
+    assert min(ops[o] for o in ("message", "delta", "edit", "regenerate")) > 20
+    rows = chat.format_messages(log).collect()
+    assert by_value((r.conv_id, r.turn, r.role, r.text) for r in rows) == by_value((c, t, r or "", x or "") for c, t, r, x in turns)
+    digests = chat.conversation_digests(log)
+    assert digests._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in digests.collect()}
+    for conv in {t[0] for t in turns}:
+        mine = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in turns if c == conv))
+        assert got[conv] == (len(mine), hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in mine).encode()).hexdigest())
+    assert chat.as_events(frame.where("false")).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=20), st.text(alphabet="<|im_startend>\\n\n ", max_size=60))
 def test_chat_escapes(role, text):

@@ -285,41 +285,89 @@ def brute_license(text):
             if words[i : i + len(p)] == p:
                 places.append(i)
                 labels.add(label)
-    # The rules, by the standard expression engine.
+    # The signatures, by the standard expression engine and without keywords; every pair of spans is compared.
     line = f" {' '.join(words)} " if words else " "
-    spans = []
-    for keyword, family, label, priority, confidence, form in licenses.rules():
-        if keyword in line and family in line:
-            spans += [(m.start(), -m.end(), -priority, label, confidence) for m in re.finditer(form, line)]
-    end, kept_p, best, found = -1, 0, 0.0, set()
-    for start, minus_end, minus_p, label, confidence in sorted(spans):
-        if -minus_end > end and (start >= end or -minus_p >= kept_p):
-            end, kept_p, best = -minus_end, -minus_p, max(best, confidence)
-            found.add(label)
-    return words, places, labels, labels | found, best
+    spans = [(m.start(), m.end(), i, p, label, c) for i, (label, p, c, _, x) in enumerate(licenses.SIGNATURES) for m in re.finditer(f" {x}(?= )", line)]
+
+    def beats(o, s):
+        if o[3] != s[3]:
+            return o[3] > s[3] and o[0] < s[1] and s[0] < o[1]
+        return o[0] <= s[0] and s[1] <= o[1] and (o[:2] != s[:2] or o[2] < s[2])
+
+    kept = [s for s in spans if not any(beats(o, s) for o in spans if o is not s)]
+    return words, places, labels, labels | {s[4] for s in kept}, max([s[5] for s in kept], default=0.0)
 
 
 LICENSED = [
     "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "CC BY-NC-SA 4.0 license", "SPDX-License-Identifier: GPL-3.0-or-later",
     "This work is licensed under the GNU General Public License, version 3.", "under the mit license under the MIT license", "mit der Lizenz mit mit", None, "", "   ...   ", "é ü license É", "BSD 3-Clause License",
-    "Available under the terms of the Mozilla Public License 2.0 and under the ISC license", "x " * 3000 + "under the MIT license " * 500, "License: WTFPL", "the unlicense license", "subject to the terms of the Eclipse Public License v2.0",
+    "Available under the terms of the Mozilla Public License 2.0 and under the ISC license", "x " * 3000 + "under the MIT license " * 60, "License: WTFPL", "the unlicense license", "subject to the terms of the Eclipse Public License v2.0",
 ]
 
 
+EXPECTED = {
+    "the MIT license type Apache 2": "apache-2",
+    "GPL-3.0": "gpl-3",
+    "isc": "isc",
+    "see the ISC licence.": "isc",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3",
+    "under the terms of the GNU Lesser General Public License, version 2.1": "lgpl-2",
+    "distributed under the GNU LGPL v3": "lgpl-3",
+    "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache-2",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+    "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "licensed under CC BY 4.0": "cc-by",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+    "SPDX-License-Identifier: (none)": "",
+    "SPDX-License-Identifier: MIT": "mit",
+    "mit freundlichen Gruessen, Lizenz mit Namen": "",
+    "dual licensed under the MIT license and the Apache License 2.0": "apache-2,mit",
+    "released into the public domain": "public-domain",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-1",
+    "License: WTFPL": "wtfpl",
+    "Affero General Public License": "agpl-3",
+    "a general public license plate holder": "gpl",
+    "free of charge": "",
+}
+
+
 def test_license_scan(documents):
-    rows = list(enumerate(LICENSED)) + [(0, LICENSED[0])]
+    rows = list(enumerate([*LICENSED, *EXPECTED])) + [(0, LICENSED[0])]
     got = licenses.scan(documents(rows)).collect()
     for r, (i, t) in zip(got, rows, strict=True):
         words, places, base, all_labels, best = brute_license(t)
         assert (r.doc_id, r.n_words, r.n_base) == (i, len(words), len(places))
         assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
-        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(all_labels))
+        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(all_labels)), t
         assert r.score == max(best, 0.9 if places else 0.0)
     by = {r.doc_id: r.labels for r in got}
     assert by[0] == "mit" and by[1] == "apache-2" and by[2] == "cc-by-nc" and by[4] == "gpl-3" and by[5] == "gpl-3" and by[12] == "bsd-3-clause" and by[7] == ""
-    assert "cc-by-nc-sa" in by[3] and by[13] == "isc,mpl-2"
+    # A base label stays beside what the signatures say.
+    assert by[3] == "cc-by-nc,cc-by-nc-sa" and by[13] == "isc,mpl-2"
+    assert {t: by[len(LICENSED) + i] for i, t in enumerate(EXPECTED)} == EXPECTED
     assert licenses.scan(documents([])).count() == 0
-    assert len(licenses.rules()) > 200
+    long = licenses.scan(documents([(1, "x " * 3000 + "under the MIT license " * 3000)])).first()
+    assert (long.n_base, long.labels, long.first_word, long.last_word) == (3000, "mit", 3000, 3000 + 4 * 2999)
+
+
+def test_license_suppression_on_random_texts(documents):
+    rng = random.Random(31)
+    parts = [w for t in (*LICENSED, *EXPECTED) if t and len(t) < 400 for w in t.split()]
+    phrases = [t for t in (*LICENSED, *EXPECTED) if t and len(t) < 200]
+    rows = [(i, " ".join(rng.choice(phrases if rng.random() < 0.6 else parts) for _ in range(rng.randrange(1, 12)))) for i in range(150)]
+    for r, (_, t) in zip(licenses.scan(documents(rows)).collect(), rows, strict=True):
+        *_, all_labels, best = brute_license(t)
+        assert r.labels == ",".join(sorted(all_labels)) and r.score >= best, t
+
+
+def test_license_signatures():
+    """Hundreds of different expressions; each holds its keywords as words, so the prefilter loses nothing."""
+    assert len({x for *_, x in licenses.SIGNATURES}) == len(licenses.SIGNATURES) > 250
+    for _, p, c, keys, x in licenses.SIGNATURES:
+        assert 1 <= p <= licenses.LEVELS and 0 < c <= 1
+        assert keys and all(re.search(rf"(?<![a-z0-9]){k}(?![a-z0-9?])", x) for k in keys.split())
 
 
 def test_license_plan_is_native(spark, documents):
