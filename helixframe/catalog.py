@@ -40,6 +40,7 @@ SELECT 'chr' || CAST(l_suppkey % 22 + 1 AS VARCHAR(9)) AS chrom,
  CASE l_linenumber % 3 WHEN 0 THEN '0/1:3:PASS' WHEN 1 THEN '1|1:4:q10;s50' ELSE '0/0' END AS s2
 FROM {lineitem}
 """
+COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
 HEADER = """##fileformat=VCFv4.3
 ##source=lineitem
 ##FILTER=<ID=q10,Description="Quality below 10">
@@ -64,10 +65,19 @@ def header() -> Header:
     return parse_header(HEADER.splitlines())
 
 
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that records are rendered from."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*COLUMNS)
+    parallel = spark.sparkContext.defaultParallelism
+    if len(table.inputFiles()) < parallel:
+        # A file of one row group is one task, however it is split: the narrow raw rows are dealt out before they are parsed.
+        table = table.repartition(parallel, "l_orderkey", "l_linenumber")
+    return table
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record lines rendered from ``lineitem``."""
-    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return spark.sql(f"SELECT {_LINE} AS value FROM ({FIXTURE})", lineitem=table)
+    return spark.sql(f"SELECT {_LINE} AS value FROM ({FIXTURE})", lineitem=lineitem(spark, sf_dir))
 
 
 def variants(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -432,23 +442,29 @@ def virtual_offset(spark, sf_dir):
     return v.select(bins.block_start(F.col("voffset")).alias("block"), bins.within_block(F.col("voffset")).alias("within"), "voffset")
 
 
-@_query("SELECT code, message, count(*)::BIGINT AS n FROM (SELECT 'UnknownFilter' AS code, 'Filter not found in header: s50; problem in FILTER column' AS message FROM v WHERE filter = 'q10;s50' UNION ALL SELECT 'UnknownFilter', 'Filter not found in header: s50; problem in FORMAT/FT column' FROM v WHERE contains(s2, 's50') UNION ALL SELECT 'CannotConvertValue', 'NS x7 cannot be converted to Integer, keeping text' FROM v WHERE contains(info, 'NS=')) GROUP BY code, message")
+@_query("SELECT code, message, count(*)::BIGINT AS n FROM (SELECT 'UnknownFilter' AS code, 'FILTER holds s50, which the header does not declare' AS message FROM v WHERE filter = 'q10;s50' UNION ALL SELECT 'UnknownFilter', 'FORMAT/FT holds s50, which the header does not declare' FROM v WHERE contains(s2, 's50') UNION ALL SELECT 'CannotConvertValue', 'NS: x7 is no Integer, its text is kept' FROM v WHERE contains(info, 'NS=')) GROUP BY code, message")
 def warning_summary(spark, sf_dir):
     """All warnings, counted."""
     return check.warning_summary(variants(spark, sf_dir))
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for files of a query: the shared one where the session names one."""
+    """A folder for files of a query: the shared one where the session names one, else (on one machine) a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="helixframe-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def _written(spark: SparkSession, sf_dir: str, **options) -> str:
+    """A sorted block-gzip file of all records, in the shared folder."""
+    path = f"{_scratch(spark)}/variants.vcf.gz"
+    write.write_vcf(variants(spark, sf_dir), header(), path, order=["chrom", "pos"], **options)
+    return path
+
+
 @_query("SELECT chrom, count(*)::BIGINT AS n, sum(pos)::BIGINT AS places FROM v GROUP BY chrom")
 def bgzf_file_scan(spark, sf_dir):
     """A block-gzip file written, split by block and read back."""
-    path = tempfile.mkdtemp(prefix="helixframe-") + "/variants.vcf.gz"
-    write.write_vcf(variants(spark, sf_dir), header(), path, order=["chrom", "pos"])
+    path = _written(spark, sf_dir)
     v = parse_records(read.read_lines(spark, path), read.read_header(spark, path))
     return v.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("pos").cast("bigint").alias("places"))
 
@@ -458,12 +474,18 @@ def indexed_fetch(spark, sf_dir):
     """A region read through an index: only the chunks it names."""
     from .sources import tabix
 
-    path = tempfile.mkdtemp(prefix="helixframe-") + "/variants.vcf.gz"
-    write.write_vcf(variants(spark, sf_dir), header(), path, order=["chrom", "pos"])
-    reader = read.Reader.from_path(spark, path, tabix_path=tabix.write_index(path))
+    path = _written(spark, sf_dir)
+    reader = read.Reader.from_path(spark, path, tabix_path=tabix.write_index(path, f"{path}.index", spark))
     return reader.fetch("chr3", 1000, 30000).select("chrom", "pos", "ref")
 
 
+@_query("SELECT chrom, pos::BIGINT AS pos, ref FROM v WHERE chrom = 'chr5' AND pos + length(ref) - 1 >= 40000")
+def fetch_auto_index(spark, sf_dir):
+    """A region to the end of a sequence, through the index that was written with the file and lies beside it."""
+    reader = read.Reader.from_path(spark, _written(spark, sf_dir, index=True))
+    return reader.fetch("chr5:40,000").select("chrom", "pos", "ref")
+
+
 @_query("SELECT chrom, count(*)::BIGINT AS n, sum(pos)::BIGINT AS places FROM v GROUP BY chrom")
 def stream_counts(spark, sf_dir):
     """Lines that arrive as a stream, parsed without state."""
@@ -474,3 +496,7 @@ def stream_counts(spark, sf_dir):
     run.awaitTermination()
     v = spark.read.schema("chrom string, pos bigint").parquet(f"{base}/out")
     return v.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("pos").cast("bigint").alias("places"))
+
+
+# They register theirs too.
+from . import catalog_files, catalog_headers  # noqa: E402, F401

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .fields import let
 
 SNV, MNV, DEL, INS, INDEL, SV, BND, SYMBOLIC, MIXED = "SNV", "MNV", "DEL", "INS", "INDEL", "SV", "BND", "SYMBOLIC", "MIXED"
+#: Directions of a breakend and its mate, and the ends of a strand.
+FORWARD, REVERSE = "+", "-"
+FIVE_PRIME, THREE_PRIME = "5", "3"
 
 
 def substitution_type(ref: Column, alt: Column) -> Column:

@@ -52,7 +52,7 @@ def _length_warnings(map_: Column, kind: str, infos: dict[str, FieldInfo], n_alt
         text = F.try_element_at(map_, F.lit(key))
         n = F.size(F.split(text, ","))
         bad = text.isNotNull() & (text != ".") & (n != expected)
-        message = F.concat(F.lit(f"{kind}/{key}: expected "), expected.cast("string"), F.lit(" values but found "), n.cast("string"))
+        message = F.concat(F.lit(f"{kind} {key} has "), n.cast("string"), F.lit(" values, not "), expected.cast("string"))
         out.append(F.when(bad, _warn("IncorrectListLength", message)))
     return out
 
@@ -61,10 +61,10 @@ def warnings_column(header: Header, checks: Sequence[str] = ()) -> Column:
     """All warnings of a record: unknown filters, values that do not convert, and list lengths if asked for."""
     from ..plans.variants import field_infos
 
-    unknown = lambda xs, where: F.transform(unknown_filters(xs, header), lambda f: _warn("UnknownFilter", F.concat(F.lit(f"Filter not found in header: "), f, F.lit(f"; problem in {where} column"))))  # noqa: E731, F541
+    unknown = lambda xs, where: F.transform(unknown_filters(xs, header), lambda f: _warn("UnknownFilter", F.concat(F.lit(f"{where} holds "), f, F.lit(", which the header does not declare"))))
     parts = [unknown(F.col("filter"), "FILTER")]
     info = field_infos(header, "INFO", None)
-    single = [F.when(fields.unconverted(F.col("info"), k, f), _warn("CannotConvertValue", F.concat(F.lit(f"{k} "), F.try_element_at("info", F.lit(k)), F.lit(f" cannot be converted to {f.type}, keeping text")))) for k, f in info.items() if f.type in ("Integer", "Float")]
+    single = [F.when(fields.unconverted(F.col("info"), k, f), _warn("CannotConvertValue", F.concat(F.lit(f"{k}: "), F.try_element_at("info", F.lit(k)), F.lit(f" is no {f.type}, its text is kept")))) for k, f in info.items() if f.type in ("Integer", "Float")]
     n_alt = F.size("alt")
     if "INFO" in checks:
         single += _length_warnings(F.col("info"), "INFO", info, n_alt)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields, genotypes
+from .names import unused
 
 
 def with_filter(filters: Column, label: Column) -> Column:
@@ -38,7 +39,7 @@ def add_format(variants: DataFrame, key: str, value: str | None = None) -> DataF
         add = lambda c: _rebuilt(c, F.when(F.map_contains_key(c["data"], key), c["data"]).otherwise(F.map_concat(c["data"], F.create_map(F.lit(key), F.lit(value)))))
         unparsed = F.transform(
             F.filter("calls", lambda c: ~c["parsed"]),
-            lambda c: F.struct(F.lit("CannotModifyUnparsedCallWarning").alias("code"), F.concat(F.lit("Could not add value to unparsed call of "), c["sample"]).alias("message")),
+            lambda c: F.struct(F.lit("CannotModifyUnparsedCallWarning").alias("code"), F.concat(F.lit("the call of "), c["sample"], F.lit(" was not parsed and is not changed")).alias("message")),
         )
         out = out.withColumn("warnings", F.when(absent, F.concat("warnings", unparsed)).otherwise(F.col("warnings")))
         out = out.withColumn("calls", F.when(absent, F.transform("calls", add)).otherwise(F.col("calls")))
@@ -55,8 +56,9 @@ def set_info(variants: DataFrame, key: str, value: Column | None) -> DataFrame:
     """Set an INFO value (a string, number or array column; null: a dot), or a flag with None."""
     text = F.lit(None).cast("string") if value is None else _text(variants, value, fields.escape_info)
     # Bound to a column first: vectorised functions do not run inside lambdas.
-    out = variants.withColumn("_text", text)
-    return out.withColumn("info", _put(F.col("info"), F.lit(key), F.col("_text"))).drop("_text")
+    name = unused("text", variants)
+    out = variants.withColumn(name, text)
+    return out.withColumn("info", _put(F.col("info"), F.lit(key), F.col(name))).drop(name)
 
 
 def drop_info(variants: DataFrame, key: str) -> DataFrame:
@@ -65,10 +67,11 @@ def drop_info(variants: DataFrame, key: str) -> DataFrame:
 
 def set_call_value(variants: DataFrame, key: str, value: Column, sample: str | None = None) -> DataFrame:
     """Set a FORMAT value of parsed calls, of one sample or all; ``FORMAT`` is extended if need be."""
-    out = add_format(variants, key).withColumn("_text", _text(variants, value, fields.escape_format))
-    change = lambda c: _rebuilt(c, _put(c["data"], F.lit(key), F.col("_text")))
+    name = unused("text", variants)
+    out = add_format(variants, key).withColumn(name, _text(variants, value, fields.escape_format))
+    change = lambda c: _rebuilt(c, _put(c["data"], F.lit(key), F.col(name)))
     pick = change if sample is None else lambda c: F.when(c["sample"] == sample, change(c)).otherwise(c)
-    return out.withColumn("calls", F.transform("calls", pick)).drop("_text")
+    return out.withColumn("calls", F.transform("calls", pick)).drop(name)
 
 
 def set_genotype(variants: DataFrame, genotype: Column, sample: str | None = None) -> DataFrame:

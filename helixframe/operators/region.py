@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bins
+from .names import unused
+
+#: Places of the widest regions that are joined by bin.
+WIDE = 1 << 24
 
 
 def parse_region(text: str) -> tuple[str, int | None, int | None]:
@@ -46,16 +50,29 @@ def fetch(variants: DataFrame, region: str | None = None, chrom: str | None = No
 
 
 def fetch_many(variants: DataFrame, regions: DataFrame) -> DataFrame:
-    """Records by many regions at once: an equi-join on chromosome and bin, then the exact test.
+    """Records by many regions at once: ``region_id`` and the records' columns.
 
-    ``regions``: ``region_id, chrom, start, end``.  A record is filed under one
-    bin; a region names all bins that may overlap it, so no pair occurs twice.
+    ``regions``: ``region_id, chrom, start, end``, 1-based and with both ends; a
+    null start is the first place, a null end the last, so with neither it is
+    the whole sequence.  Regions of up to ``WIDE`` places are an equi-join on
+    chromosome and bin, then the exact test: a record is filed under one bin and
+    a region names all bins that may overlap it, so no pair occurs twice.  Wider
+    ones would name thousands of bins to get most of a chromosome; they join on
+    the chromosome alone.  Skewed bins and chromosomes are split by the adaptive join.
     """
-    begin, finish = F.col("pos") - 1, F.col("pos") - 1 + F.greatest(F.length("ref"), F.lit(1))
-    filed = variants.withColumn("_bin", bins.finest_bin(begin, finish))
-    asked = regions.select("region_id", F.col("chrom").alias("_chrom"), F.col("start").cast("bigint").alias("_start"), F.col("end").cast("bigint").alias("_end"))
-    asked = asked.withColumn("_bins", bins.region_bins_column(F.greatest(F.col("_start") - 1, F.lit(0)).cast("bigint"), F.col("_end")))
-    asked = asked.withColumn("_key", F.explode("_bins")).drop("_bins")
-    hit = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_key"))
-    near = (F.col("pos") <= F.col("_end")) & (F.col("pos") + F.length("ref") - 1 >= F.col("_start"))
-    return filed.join(asked, hit & near).drop("_bin", "_chrom", "_start", "_end", "_key")
+    c, start, end, key, place, id_ = (unused(n, variants) for n in ("region_chrom", "region_start", "region_end", "region_key", "filed", "region_id"))
+    asked = regions.select(F.col("region_id").alias(id_), F.col("chrom").alias(c), F.coalesce(F.col("start").cast("bigint"), F.lit(1)).alias(start), F.col("end").cast("bigint").alias(end))
+    narrow = F.coalesce(F.col(end) - F.col(start) < WIDE, F.lit(False))
+    near = (F.col("chrom") == F.col(c)) & (F.col(end).isNull() | (F.col("pos") <= F.col(end))) & (F.col("pos") + F.length("ref") - 1 >= F.col(start))
+    kept = [id_, *variants.columns]
+    out = []
+    few = asked.where(narrow)
+    if not few.isEmpty():
+        begin = F.greatest(F.col(start) - 1, F.lit(0)).cast("bigint")
+        few = few.withColumn(key, F.explode(bins.region_bins_column(begin, F.greatest(F.col(end), begin + 1))))
+        filed = variants.withColumn(place, bins.finest_bin(F.col("pos") - 1, F.col("pos") - 1 + F.greatest(F.length("ref"), F.lit(1))))
+        out.append(filed.join(few, near & (F.col(place) == F.col(key))).select(*kept))
+    many = asked.where(~narrow)
+    if not many.isEmpty() or not out:
+        out.append(variants.join(many, near).select(*kept))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])

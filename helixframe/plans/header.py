@@ -36,29 +36,32 @@ class FieldInfo:
     id: str | None = None
 
 
-def _registry(text: str) -> dict[str, FieldInfo]:
-    out = {}
-    for entry in text.split():
-        key, kind, number = entry.split(":")
-        out[key] = FieldInfo(kind, int(number) if number.isdigit() else number, None, key)
-    return out
-
-
-# The reserved INFO keys of the format's specification, as key:type:number.
-RESERVED_INFO = _registry("""
-    AA:String:1 AC:Integer:A AD:Integer:R ADF:Integer:R ADR:Integer:R AF:Float:A AN:Integer:1 BQ:Float:1 CIGAR:String:A
-    DB:Flag:0 DP:Integer:1 H2:Flag:0 H3:Flag:0 MQ:Integer:1 MQ0:Integer:1 NS:Integer:1 SB:Integer:4 SOMATIC:Flag:0
-    VALIDATED:Flag:0 1000G:Flag:0 IMPRECISE:Flag:0 NOVEL:Flag:0 END:Integer:1 SVTYPE:String:1 SVLEN:Integer:1
-    CIPOS:Integer:2 CIEND:Integer:2 HOMLEN:Integer:. HOMSEQ:String:. BKPTID:String:. MEINFO:String:4 METRANS:String:4
-    DGVID:String:1 DBVARID:String:1 DBRIPID:String:1 MATEID:String:. PARID:String:1 EVENT:String:1 CILEN:Integer:2
-    DPADJ:Integer:. CN:Integer:1 CNADJ:Integer:. CICN:Integer:2 CICNADJ:Integer:.
-""")
+def _fields(table: dict[str, tuple[str, int | str]]) -> dict[str, FieldInfo]:
+    return {key: FieldInfo(kind, number, None, key) for key, (kind, number) in table.items()}
+
+
+# The reserved INFO keys of the format's specification, with type and number.
+RESERVED_INFO = _fields(
+    {
+        "AA": ("String", 1), "AC": ("Integer", "A"), "AD": ("Integer", "R"), "ADF": ("Integer", "R"), "ADR": ("Integer", "R"), "AF": ("Float", "A"),
+        "AN": ("Integer", 1), "BQ": ("Float", 1), "CIGAR": ("String", "A"), "DB": ("Flag", 0), "DP": ("Integer", 1), "H2": ("Flag", 0), "H3": ("Flag", 0),
+        "MQ": ("Integer", 1), "MQ0": ("Integer", 1), "NS": ("Integer", 1), "SB": ("Integer", 4), "SOMATIC": ("Flag", 0), "VALIDATED": ("Flag", 0),
+        "1000G": ("Flag", 0), "IMPRECISE": ("Flag", 0), "NOVEL": ("Flag", 0), "END": ("Integer", 1), "SVTYPE": ("String", 1), "SVLEN": ("Integer", 1),
+        "CIPOS": ("Integer", 2), "CIEND": ("Integer", 2), "HOMLEN": ("Integer", "."), "HOMSEQ": ("String", "."), "BKPTID": ("String", "."),
+        "MEINFO": ("String", 4), "METRANS": ("String", 4), "DGVID": ("String", 1), "DBVARID": ("String", 1), "DBRIPID": ("String", 1),
+        "MATEID": ("String", "."), "PARID": ("String", 1), "EVENT": ("String", 1), "CILEN": ("Integer", 2), "DPADJ": ("Integer", "."),
+        "CN": ("Integer", 1), "CNADJ": ("Integer", "."), "CICN": ("Integer", 2), "CICNADJ": ("Integer", "."),
+    }
+)
 # The reserved FORMAT keys.
-RESERVED_FORMAT = _registry("""
-    AD:Integer:R ADF:Integer:R ADR:Integer:R DP:Integer:1 EC:Integer:A FT:String:1 GQ:Integer:G GP:Float:G GT:String:1
-    GL:Float:G HQ:Integer:2 MQ:Integer:1 PL:Integer:G PQ:Integer:1 PS:Integer:1 CN:Integer:1 CNQ:Float:1 CNL:Float:G
-    CNP:Float:G NQ:Integer:1 HAP:Integer:1 AHAP:Integer:1
-""")
+RESERVED_FORMAT = _fields(
+    {
+        "AD": ("Integer", "R"), "ADF": ("Integer", "R"), "ADR": ("Integer", "R"), "DP": ("Integer", 1), "EC": ("Integer", "A"), "FT": ("String", 1),
+        "GQ": ("Integer", "G"), "GP": ("Float", "G"), "GT": ("String", 1), "GL": ("Float", "G"), "HQ": ("Integer", 2), "MQ": ("Integer", 1),
+        "PL": ("Integer", "G"), "PQ": ("Integer", 1), "PS": ("Integer", 1), "CN": ("Integer", 1), "CNQ": ("Float", 1), "CNL": ("Float", "G"),
+        "CNP": ("Float", "G"), "NQ": ("Integer", 1), "HAP": ("Integer", 1), "AHAP": ("Integer", 1),
+    }
+)
 
 
 def split_quoted(text: str, delimiter: str = ",", quote: str = '"', brackets: str = "[]") -> list[str]:

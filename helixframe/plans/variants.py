@@ -34,7 +34,7 @@ def line_error(columns: Column, expected: int) -> Column:
     n = F.size(columns)
     qual = F.get(columns, F.lit(5))
     return (
-        F.when(n != expected, F.concat(F.lit("The line contains an invalid number of fields. Was "), n.cast("string"), F.lit(f" but expected {expected}")))
+        F.when(n != expected, F.concat(F.lit("the line has "), n.cast("string"), F.lit(f" columns, not {expected}")))
         .when(F.trim(F.get(columns, F.lit(1))).try_cast("bigint").isNull(), F.lit("POS is no whole number"))
         .when((qual != ".") & fields.number(qual, "Float").isNull(), F.lit("QUAL is no number"))
         .when(F.exists(F.split(F.get(columns, F.lit(4)), ","), lambda a: a == ""), F.lit("ALT holds an empty allele"))

@@ -1,7 +1,8 @@
 """``spark.read.format("vcf")``: the lines of a block-gzip file, split by block.
 
 Options: ``path``; ``partition_bytes`` (compressed bytes of a task, 32 MiB by
-default); ``region`` with ``index`` to read only the chunks an index names.
+default); ``region`` with ``index`` to read only the chunks an index names;
+``encoding`` (UTF-8 by default).
 Rows: ``path, offset, value``; ``offset``, the line's virtual offset, orders
 them as in the file.
 """
@@ -17,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.bins import make_virtual_offset
 from . import tabix
 from .bgzf import BgzfReader, next_block
+from .files import open_input
 
 SCHEMA = "path string, offset bigint, value string"
 
@@ -29,26 +31,16 @@ class Range(InputPartition):
         self.path, self.begin, self.end, self.whole_lines = path, begin, end, whole_lines
 
 
-def open_binary(path: str):
-    """A seekable stream of a file, local or in a store that Arrow knows."""
-    if "://" not in path:
-        return open(path.removeprefix("file:"), "rb")
-    from pyarrow import fs
-
-    store, where = fs.FileSystem.from_uri(path)
-    return store.open_input_file(where)
-
-
 def split_ranges(path: str, size: int) -> list[Range]:
     """Even ranges of compressed bytes; their ends are moved to block starts by the tasks."""
-    with open_binary(path) as f:
+    with open_input(path) as f:
         f.seek(0, 2)
         total = f.tell()
     return [Range(path, at, min(at + size, total), False) for at in range(0, total, size)]
 
 
-def read_range(part: Range) -> Iterator[tuple[str, int, str]]:
-    with open_binary(part.path) as stream:
+def read_range(part: Range, encoding: str = "utf-8") -> Iterator[tuple[str, int, str]]:
+    with open_input(part.path) as stream:
         begin, end = part.begin, part.end
         if not part.whole_lines:
             first = 0 if begin == 0 else next_block(stream, begin)
@@ -68,7 +60,7 @@ def read_range(part: Range) -> Iterator[tuple[str, int, str]]:
             line = reader.readline_bytes()
             if not line:
                 return
-            yield part.path, at, line.decode().rstrip("\r\n")
+            yield part.path, at, line.decode(encoding).rstrip("\r\n")
 
 
 def next_start(stream, part: Range) -> int:
@@ -86,6 +78,7 @@ class VcfReader(DataSourceReader):
         self.path = options.get("path")
         self.size = int(options.get("partition_bytes", 32 << 20))
         self.region, self.index = options.get("region"), options.get("index")
+        self.encoding = options.get("encoding", "utf-8")
         if not self.path:
             raise ValueError("option path is missing")
 
@@ -97,10 +90,12 @@ class VcfReader(DataSourceReader):
         index = tabix.read_index(self.index or f"{self.path}.tbi")
         return [Range(self.path, a, b, True) for a, b in tabix.plan_chunks(index, *parse_region(self.region))]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no chunk to read: the one task that is run gets no range
+            return
         rows: list[tuple[str, int, str]] = []
         names = ["path", "offset", "value"]
-        for row in read_range(part):
+        for row in read_range(part, self.encoding):
             rows.append(row)
             if len(rows) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)

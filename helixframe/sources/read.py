@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +11,22 @@ from pyspark.sql import functions as F
 from ..operators import region as regions
 from ..plans.header import Header, parse_header
 from ..plans.variants import parse_records
-from . import datasource
+from . import datasource, files, tabix
+from .bgzf import block_size
 
 
-def header_text(spark: SparkSession, path: str) -> Iterator[str]:
+def _stream(spark: SparkSession, path: str):
+    fs, where = files._hadoop(spark, path)
+    return fs.open(where)
+
+
+def header_text(spark: SparkSession, path: str, encoding: str = "utf-8") -> Iterator[str]:
     """The first lines of a file through Spark's file systems; reading stops when the caller does."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(conf).open(where)
+    stream = _stream(spark, path)
     if path.endswith((".gz", ".bgz")):
         stream = jvm.java.util.zip.GZIPInputStream(stream)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
     try:
         while (line := reader.readLine()) is not None:
             yield line
@@ -29,37 +34,44 @@ def header_text(spark: SparkSession, path: str) -> Iterator[str]:
         reader.close()
 
 
-def read_header(spark: SparkSession, path: str, parsed_samples: Sequence[str] | None = None) -> Header:
-    return parse_header(header_text(spark, path), list(parsed_samples) if parsed_samples else None)
-
+def read_header(spark: SparkSession, path: str, parsed_samples: Sequence[str] | None = None, encoding: str = "utf-8") -> Header:
+    return parse_header(header_text(spark, path, encoding), list(parsed_samples) if parsed_samples else None)
 
-def is_block_gzip(path: str) -> bool:
-    """Whether a compressed file is made of blocks."""
-    from .bgzf import block_size
 
+def is_block_gzip(spark: SparkSession, path: str) -> bool:
+    """Whether a compressed file is made of blocks, by its first bytes; a file that cannot be read is an error."""
+    stream = _stream(spark, path)
     try:
-        with datasource.open_binary(path) as f:
-            return block_size(f.read(64)) is not None
-    except (OSError, ValueError):
-        return False
+        head = bytes(stream.readNBytes(64))
+    finally:
+        stream.close()
+    return block_size(head) is not None
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """``path, line_no, value``: ``line_no`` orders lines as in the file.
 
     Block-gzip files are split by block; plain files by Spark; other gzip files
     are one task.
     """
-    if path.endswith((".gz", ".bgz")) and is_block_gzip(path):
+    path = files.qualified(spark, path)
+    if path.endswith((".gz", ".bgz")) and is_block_gzip(spark, path):
         datasource.register(spark)
-        lines = spark.read.format("vcf").load(path)
+        lines = spark.read.format("vcf").option("encoding", encoding).load(path)
         return lines.select("path", F.col("offset").alias("line_no"), "value")
-    return spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), "value")
+    if path.endswith(".bgz"):
+        raise ValueError(f"{path} is not made of blocks")
+    value = F.col("value")
+    if encoding.lower().replace("_", "-") not in ("utf-8", "utf8"):
+        value = F.decode(value.cast("binary"), encoding)
+    return spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), value.alias("value"))
 
 
-def read_vcf(spark: SparkSession, path: str, parsed_samples: Sequence[str] | None = None, info: Sequence[str] | None = None, checks: Sequence[str] = (), mode: str = "failfast") -> DataFrame:
+def read_vcf(
+    spark: SparkSession, path: str, parsed_samples: Sequence[str] | None = None, info: Sequence[str] | None = None, checks: Sequence[str] = (), mode: str = "failfast", encoding: str = "utf-8"
+) -> DataFrame:
     """The ``variants`` frame of a file."""
-    return parse_records(read_lines(spark, path), read_header(spark, path, parsed_samples), info, checks, mode)
+    return parse_records(read_lines(spark, path, encoding), read_header(spark, path, parsed_samples, encoding), info, checks, mode)
 
 
 def from_lines(spark: SparkSession, lines: Iterable[str], header: Header | None = None, **options) -> DataFrame:
@@ -71,26 +83,48 @@ def from_lines(spark: SparkSession, lines: Iterable[str], header: Header | None
 
 
 class Reader:
-    """A file's header and records; records are a frame, iteration streams its rows."""
+    """A file's header and records; records are a frame, iteration streams its rows.
 
-    def __init__(self, spark: SparkSession, path: str, header: Header, tabix_path: str | None = None, record_checks: Sequence[str] = ()):
+    An index is used where ``tabix_path`` names it or ``path`` with ``.tbi`` exists.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, header: Header, tabix_path: str | None = None, record_checks: Sequence[str] = (), encoding: str = "utf-8"):
         self.spark, self.path, self.header = spark, path, header
-        self.tabix_path, self.record_checks = tabix_path, tuple(record_checks)
+        self.tabix_path, self.record_checks, self.encoding = tabix_path, tuple(record_checks), encoding
         self._lines: DataFrame | None = None
 
     @classmethod
-    def from_path(cls, spark: SparkSession, path: str, tabix_path: str | None = None, record_checks: Sequence[str] = (), parsed_samples: Sequence[str] | None = None) -> Reader:
-        return cls(spark, path, read_header(spark, path, parsed_samples), tabix_path, record_checks)
+    def from_path(
+        cls, spark: SparkSession, path: str, tabix_path: str | None = None, record_checks: Sequence[str] = (), parsed_samples: Sequence[str] | None = None, encoding: str = "utf-8"
+    ) -> Reader:
+        path = files.qualified(spark, path)
+        if tabix_path is not None:
+            tabix_path = files.qualified(spark, tabix_path)
+        elif path.endswith((".gz", ".bgz")) and files.exists(spark, f"{path}.tbi"):
+            tabix_path = f"{path}.tbi"
+        return cls(spark, path, read_header(spark, path, parsed_samples, encoding), tabix_path, record_checks, encoding)
 
     @classmethod
     def from_lines(cls, spark: SparkSession, lines: Iterable[str], record_checks: Sequence[str] = (), parsed_samples: Sequence[str] | None = None) -> Reader:
-        lines = [x.rstrip("\n") for x in lines]
+        lines = [x.rstrip("\r\n") for x in lines]
         out = cls(spark, "", parse_header(lines, list(parsed_samples) if parsed_samples else None), None, record_checks)
         out._lines = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no bigint, value string")
         return out
 
+    @classmethod
+    def from_stream(
+        cls, spark: SparkSession, stream: TextIO, path: str | None = None, tabix_path: str | None = None, record_checks: Sequence[str] = (), parsed_samples: Sequence[str] | None = None
+    ) -> Reader:
+        """From an open text file on the driver.  With a ``path``, regions are read from the file there."""
+        if tabix_path is not None and path is None:
+            raise ValueError("an index needs the path of its file")
+        out = cls.from_lines(spark, stream, record_checks, parsed_samples)
+        out.path = "" if path is None else files.qualified(spark, path)
+        out.tabix_path = None if tabix_path is None else files.qualified(spark, tabix_path)
+        return out
+
     def variants(self, **options) -> DataFrame:
-        lines = self._lines if self._lines is not None else read_lines(self.spark, self.path)
+        lines = self._lines if self._lines is not None else read_lines(self.spark, self.path, self.encoding)
         return parse_records(lines, self.header, checks=self.record_checks, **options)
 
     def fetch(self, chrom_or_region: str, begin: int | None = None, end: int | None = None) -> DataFrame:
@@ -98,14 +132,10 @@ class Reader:
         if (begin is None) != (end is None):
             raise ValueError("begin and end go together")
         c, s, e = regions.parse_region(chrom_or_region) if begin is None else (chrom_or_region, begin, end)
-        index = self.tabix_path or f"{self.path}.tbi"
-        if self.path.endswith((".gz", ".bgz")) and self.tabix_path is not None and is_block_gzip(self.path):
-            datasource.register(self.spark)
-            text = c if s is None else f"{c}:{s}" if e is None else f"{c}:{s}-{e}"
-            lines = self.spark.read.format("vcf").option("region", text).option("index", index).load(self.path)
-            lines = lines.select("path", F.col("offset").alias("line_no"), "value")
-            return parse_records(lines, self.header, checks=self.record_checks).where(regions.overlaps(c, s, e))
-        return self.variants().where(regions.overlaps(c, s, e))
+        if self.tabix_path is None:
+            return self.variants().where(regions.overlaps(c, s, e))
+        lines = tabix.TabixFile(self.spark, self.path, self.tabix_path, self.encoding).lines(c, s, e)
+        return parse_records(lines, self.header, checks=self.record_checks).where(regions.overlaps(c, s, e))
 
     def __iter__(self):
         frame = self.variants()
