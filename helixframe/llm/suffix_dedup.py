@@ -21,13 +21,16 @@ content, level by level, and each level settles most of what is left:
    rows of all tasks are then added up.
 
 All levels count by content with partial sums in the map tasks, so thousands of
-copies of one string meet as a few rows.  Only texts with something repeated
-are ever moved.
+copies of one string meet as a few rows.  What tasks compare among each other
+are 128-bit BLAKE2 digests of the bytes themselves, and texts go by 128 bits of
+SHA-256: the polynomial hashes choose and sort, they decide nothing alone.
+Only texts with something repeated are ever moved.
 
 Defined results: a null or empty text has no bytes; texts under ``LENGTH``
 bytes lose nothing; equal texts get equal results; repeated rows count as
 texts of their own and so repeat each other; texts of any length are judged
-whole; an empty table gives an empty table; other columns are ignored.
+whole; an empty table gives an empty table; other columns are ignored, or kept
+as they are where texts are cut, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,11 +43,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, stored
+from .common import arrow_schema, discard, slices, stored
 
 #: Bytes of a string that counts as repeated; bytes of an anchor; windows in a block; suffixes sorted together.
 LENGTH, GRAM, BLOCK, SORTED = 200, 64, 8, 4096
-_BASES = (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
 _PLACE = np.uint64((1 << 31) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -61,7 +64,7 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class PrefixHash:
     """Polynomial hashes of all prefixes; the hash of any part takes two look-ups."""
 
-    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = _BASE):
         up, down = _power_tables(base, len(data) + 1)
         self.up = up
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -86,7 +89,7 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, h: PrefixHash) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor's place and hash, first and last window, hash of the run's bytes."""
+    """Runs of windows with one anchor: anchor's place and hash, first and last window."""
     n = len(data) - GRAM + 1
     at = np.arange(n)
     gram = mix(h.part(at, at + GRAM))
@@ -95,12 +98,11 @@ def runs(data: np.ndarray, h: PrefixHash) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:], len(place)) - 1
     p = place[first]
-    shape = ((p - first) * 1024 + (last - first)).astype(np.uint64)
-    return p, gram[p], first, last, mix(h.part(first, last + LENGTH) + mix(shape))
+    return p, gram[p], first, last
 
 
 def blocks(h: PrefixHash, p: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks of runs: hash of the bytes all windows of the whole block share, hash of the block's own bytes, first and last window."""
+    """Blocks of runs: hash of the bytes all windows of the whole block share, the block's last window if it were whole, its first and last window."""
     low, high = (p - last) // BLOCK, (p - first) // BLOCK
     n = high - low + 1
     ends = np.cumsum(n)
@@ -108,9 +110,15 @@ def blocks(h: PrefixHash, p: np.ndarray, first: np.ndarray, last: np.ndarray) ->
     number = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n) + low[owner]
     a = p[owner] - number * BLOCK  # the last window of the whole block
     core = mix(h.part(a, a - BLOCK + 1 + LENGTH) + mix(number.astype(np.uint64)))
-    begin, end = np.maximum(first[owner], a - BLOCK + 1), np.minimum(last[owner], a)
-    shape = ((a - begin) * 1024 + (end - begin)).astype(np.uint64)
-    return core, mix(h.part(begin, end + LENGTH) + mix(shape)), begin, end
+    return core, a, np.maximum(first[owner], a - BLOCK + 1), np.minimum(last[owner], a)
+
+
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, shape: np.ndarray | None = None) -> np.ndarray:
+    """Digests of parts of ``data`` as two numbers each; parts of another ``shape`` have others."""
+    view = memoryview(data)
+    made = b"".join([hashlib.blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+    out = np.frombuffer(made, "<u8").reshape(-1, 2)
+    return (out if shape is None else out ^ mix(shape.astype(np.uint64))[:, None]).view(np.int64)
 
 
 def common_extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int = LENGTH) -> np.ndarray:
@@ -176,7 +184,8 @@ def same_windows(data: np.ndarray, h: PrefixHash, starts: np.ndarray) -> tuple[n
 
 
 def digest(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    """The first 128 bits of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -196,27 +205,29 @@ def _signed(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
 
 
-def _settle(rows: DataFrame, core: str, own: str) -> tuple[DataFrame, DataFrame]:
-    """Repeated rows and open ones of a level.
+def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Repeated rows and open ones of a level, and the tables behind them.
 
-    ``rows`` have a hash ``core`` of what they share with their like, a hash
-    ``own`` of all their bytes, and ``at``, where they are.  Unique cores are
+    ``rows`` have a hash ``core`` of what they share with their like, a digest
+    ``own``, ``own2`` of all their bytes, and ``at``, where they are.  Unique cores are
     gone; rows whose own bytes occur twice are repeated; of cores with different
     bytes one row of each kind is open, to be compared at the next level.
     """
-    shared = rows.groupBy(core).agg(F.count("*").alias("n"), F.min(own).alias("x"), F.max(own).alias("y")).where("n > 1").select(core, (F.col("x") != F.col("y")).alias("mixed"))
+    own = ["own", "own2"]
+    shared = rows.groupBy("core").agg(F.count("*").alias("n"), *[f(k).alias(f"{f.__name__}_{k}") for k in own for f in (F.min, F.max)]).where("n > 1")
+    shared = shared.select("core", F.expr("min_own <> max_own OR min_own2 <> max_own2").alias("mixed"))
     # Written first, so that a join splits the rows of a core that very many share.
     shared = stored(shared)
-    known = stored(rows.join(shared, core))
-    kinds = known.where("mixed").groupBy(core, own).agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    known = stored(rows.join(shared, "core"))
+    kinds = known.where("mixed").groupBy("core", *own).agg(F.count("*").alias("n"), F.min("at").alias("at"))
     kinds = stored(kinds)
-    twice = kinds.where("n > 1").select(core, own)
-    repeated = known.where("NOT mixed").select("at").unionByName(known.where("mixed").join(twice, [core, own], "left_semi").select("at"))
-    return repeated, kinds.select("at")
+    twice = kinds.where("n > 1").select("core", *own)
+    repeated = known.where("NOT mixed").select("at").unionByName(known.where("mixed").join(twice, ["core", *own], "left_semi").select("at"))
+    return repeated, kinds.select("at"), [shared, known, kinds]
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    target, schema = _frame(docs.sparkSession, "core long, own long, at struct<dg:binary,i:int>")
+    target, schema = _frame(docs.sparkSession, "core long, own long, own2 long, at struct<dg:binary,i:int>")
 
     def run(batches):
         for batch in slices(batches):
@@ -225,17 +236,22 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 data = _bytes(t.as_py())
                 if len(data) < LENGTH:
                     continue
-                _, gram, _, _, bytes_ = runs(data, PrefixHash(data))
+                p, gram, first, last = runs(data, PrefixHash(data))
                 core.append(gram)
-                own.append(bytes_)
-                dg += [hashlib.md5(data).digest()] * len(gram)
+                own.append(digests(data, first, last + LENGTH, (p - first) * 1024 + (last - first)))
+                dg += [hashlib.sha256(data).digest()[:16]] * len(gram)
                 number.append(np.arange(len(gram)))
             at = pa.StructArray.from_arrays([pa.array(dg, pa.binary()), pa.array(_joined(number, np.int32))], names=["dg", "i"])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), pa.array(_signed(own)), at.cast(schema.field(2).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), *_own(own), at.cast(schema.field(3).type)], schema=schema)
 
     return docs.select("text").mapInArrow(run, target)
 
 
+def _own(parts: list[np.ndarray]) -> list[pa.Array]:
+    both = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    return [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
+
+
 def _by_text(repeated: DataFrame, opened: DataFrame) -> DataFrame:
     """For each text the numbers of its repeated and open parts; a text's parts are as many as its bytes at most."""
     both = repeated.select("at", F.lit(1).alias("full"), F.lit(0).alias("open")).unionByName(opened.select("at", F.lit(0).alias("full"), F.lit(1).alias("open")))
@@ -246,7 +262,7 @@ def _by_text(repeated: DataFrame, opened: DataFrame) -> DataFrame:
 
 
 def _open_blocks(texts: DataFrame) -> DataFrame:
-    target, schema = _frame(texts.sparkSession, "core long, own long, at struct<dg:binary,begin:int,finish:int>")
+    target, schema = _frame(texts.sparkSession, "core long, own long, own2 long, at struct<dg:binary,begin:int,finish:int>")
 
     def run(batches):
         for batch in slices(batches):
@@ -256,15 +272,15 @@ def _open_blocks(texts: DataFrame) -> DataFrame:
                     continue
                 data = _bytes(t.as_py())
                 h = PrefixHash(data)
-                p, _, first, last, _ = runs(data, h)
-                c, o, b, e = blocks(h, *(x[np.array(numbers)] for x in (p, first, last)))
+                p, _, first, last = runs(data, h)
+                c, whole, b, e = blocks(h, *(x[np.array(numbers)] for x in (p, first, last)))
                 core.append(c)
-                own.append(o)
+                own.append(digests(data, b, e + LENGTH, (whole - b) * 1024 + (e - b)))
                 dg += [key] * len(c)
                 begin.append(b)
                 end.append(e)
             at = pa.StructArray.from_arrays([pa.array(dg, pa.binary()), pa.array(_joined(begin, np.int32)), pa.array(_joined(end, np.int32))], names=["dg", "begin", "finish"])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), pa.array(_signed(own)), at.cast(schema.field(2).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), *_own(own), at.cast(schema.field(3).type)], schema=schema)
 
     return texts.select("dg", "text", "open").mapInArrow(run, target)
 
@@ -282,17 +298,17 @@ def _windows(batches, counted: bool) -> Iterator[tuple]:
         data = np.concatenate([d for _, d, _ in held])
         offset = np.cumsum([0, *(len(d) for _, d, _ in held)])
         starts = np.concatenate([s + o for (_, _, s), o in zip(held, offset[:-1], strict=True)])
-        h, g = PrefixHash(data), PrefixHash(data, _BASES[1])
+        h = PrefixHash(data)
         for i in range(0, len(starts), SORTED):
             chunk = starts[i : i + SORTED]
             if counted:
                 order, same = same_windows(data, h, chunk)
                 heads = np.flatnonzero(~same)
                 chunk, n = order[heads], np.diff(np.append(heads, len(order)))
-                yield h.part(chunk, chunk + LENGTH), g.part(chunk, chunk + LENGTH), n
+                yield digests(data, chunk, chunk + LENGTH), n
             else:
                 owner = np.searchsorted(offset, chunk, "right") - 1
-                yield h.part(chunk, chunk + LENGTH), g.part(chunk, chunk + LENGTH), [held[o][0] for o in owner.tolist()], chunk - offset[owner]
+                yield digests(data, chunk, chunk + LENGTH), [held[o][0] for o in owner.tolist()], chunk - offset[owner]
 
     for batch in slices(batches):
         for key, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), _spans(batch.column(2)), strict=True):
@@ -314,12 +330,12 @@ def _repeated_windows(texts: DataFrame) -> DataFrame:
     places, place_schema = _frame(texts.sparkSession, "w1 long, w2 long, dg binary, start int")
 
     def count(batches):
-        for a, b, n in _windows(batches, True):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64))], schema=count_schema)
+        for own, n in _windows(batches, True):
+            yield pa.RecordBatch.from_arrays([*_own([own]), pa.array(n.astype(np.int64))], schema=count_schema)
 
     def place(batches):
-        for a, b, dg, s in _windows(batches, False):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(dg, pa.binary()), pa.array(s.astype(np.int32))], schema=place_schema)
+        for own, dg, s in _windows(batches, False):
+            yield pa.RecordBatch.from_arrays([*_own([own]), pa.array(dg, pa.binary()), pa.array(s.astype(np.int32))], schema=place_schema)
 
     twice = texts.mapInArrow(count, counts).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
     return texts.mapInArrow(place, places).join(twice, ["w1", "w2"], "left_semi").select("dg", "start")
@@ -333,17 +349,21 @@ def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(text).alias("text"))
-    repeated, opened = _settle(_anchors(docs), "core", "own")
+    repeated, opened, behind = _settle(_anchors(docs))
     flags = _by_text(repeated, opened)
     distinct = docs.where(F.octet_length("text") >= LENGTH).withColumn("dg", digest(F.col("text"))).dropDuplicates(["dg"])
     texts = stored(distinct.join(flags, "dg"))
-    repeated, opened = _settle(_open_blocks(texts), "core", "own")
+    for table in behind:
+        discard(table)
+    repeated, opened, behind = _settle(_open_blocks(texts))
     span = F.struct(F.col("at.begin").alias("begin"), F.col("at.finish").alias("finish"))
     opened = opened.groupBy(F.col("at.dg").alias("dg")).agg(F.collect_list(span).alias("spans"))
     opened = stored(texts.select("dg", "text").join(opened, "dg"))
     found = _repeated_windows(opened).select("dg", F.col("start").alias("begin"), F.col("start").alias("finish"))
     found = found.unionByName(repeated.select(F.col("at.dg").alias("dg"), F.col("at.begin").alias("begin"), F.col("at.finish").alias("finish")))
-    found = found.groupBy("dg").agg(F.collect_list(F.struct("begin", "finish")).alias("spans"))
+    found = stored(found.groupBy("dg").agg(F.collect_list(F.struct("begin", "finish")).alias("spans")))
+    for table in (*behind, opened):
+        discard(table)
     both = texts.select("dg", "text", "full").join(found, "dg", "left")
     target, schema = _frame(spark, "dg binary, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
@@ -354,7 +374,7 @@ def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> Dat
                 data = _bytes(t.as_py())
                 edge = np.zeros(len(data) + 1, np.int64)
                 if full:
-                    _, _, first, last, _ = runs(data, PrefixHash(data))
+                    _, _, first, last = runs(data, PrefixHash(data))
                     at = np.array(full)
                     np.add.at(edge, first[at], 1)
                     np.add.at(edge, last[at] + LENGTH, -1)
@@ -384,10 +404,12 @@ def removed_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with repeated bytes cut out of the texts; all rows and columns stay."""
-    found = repeats(docs, text, with_text=True).select(F.col("dg").alias("_cut_key"), F.col("kept").alias("_cut_text"))
-    joined = docs.withColumn("_cut_key", digest(F.col(text))).join(found, "_cut_key", "left")
-    new = F.when(F.col(text).isNotNull(), F.coalesce("_cut_text", text)).alias(text)
-    out = joined.select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns])
+    found = repeats(docs, text, with_text=True).select("dg", "kept")
+    # Each row as one value: no column of it can clash with ours.
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest(F.col(f"`{text}`")).alias("dg")).join(found, "dg", "left")
+    old = F.col("row").getField(text)
+    new = F.when(old.isNotNull(), F.coalesce("kept", old)).alias(text)
+    out = joined.select(*[new if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.coalesce(F.length(text), "n_chars").cast(docs.schema["n_chars"].dataType))
