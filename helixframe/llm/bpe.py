@@ -11,7 +11,9 @@ at most once, so the work is linear in the word's length.
 Decoding reads a table of offsets into one buffer that holds all token texts.
 
 Defined results: a null or empty text has no tokens and decodes to ``""``;
-texts of any length are encoded whole; equal texts get equal results.
+texts of any length are encoded whole; repeated rows are encoded each, and equal
+texts get equal results; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from .common import held, map_batches
 
 #: The byte-to-character table that byte-level vocabularies use.
 _PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-#: Words kept in a worker's cache; it is emptied when it is full.
-CACHE_WORDS = 300_000
+#: Words kept in a worker's cache, which is emptied when it is full, and characters of the longest: both bound its bytes.
+CACHE_WORDS, CACHE_CHARS = 300_000, 40
 #: Stands for the end of a word inside the automaton; not a byte-level character.
 _END = "￿"
 
@@ -274,11 +276,13 @@ class WordBpe:
     def _ids_of(self, word: str) -> bytes:
         found = self._raw.get(word)
         if found is None:
-            if len(self._raw) >= CACHE_WORDS:
-                self._raw.clear()
             table = self.v.bytes
             ids = self.encoder.encode("".join([table[b] for b in word.encode()]) + (_END if self.v.suffix else ""))
-            found = self._raw[word] = struct.pack(f"<{len(ids)}I", *ids)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= CACHE_CHARS:
+                if len(self._raw) >= CACHE_WORDS:
+                    self._raw.clear()
+                self._raw[word] = found
         return found
 
     def pack(self, text: str | None) -> bytes:

@@ -8,8 +8,9 @@ block groups with all four lacings, and cues, into a packet table of
 timestamps, tracks and byte ranges.
 
 Defined results: a null or empty payload is stored as its padding; payloads of
-any length are stored whole; equal payloads give equal files, as nothing in
-them depends on time or chance; other columns are ignored.
+any length are stored whole; repeated rows are stored each, and equal payloads
+give equal files, as nothing in them depends on time or chance; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ passed over, and the pair's symbols become one.  The count of a piece is its
 initial symbols minus its merges: no identifiers are made.
 
 Defined results: a null or empty text has 0 tokens; texts of any length are
-counted whole; equal texts get equal counts.
+counted whole; repeated rows are counted each, and equal texts get equal counts;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import held, map_batches
 
 #: Fixed value: the pattern that byte-level tokenizers split text by.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept in a worker's cache; it is emptied when it is full.
-CACHE_PIECES = 300_000
+#: Pieces kept in a worker's cache, which is emptied when it is full, and characters of the longest: both bound its bytes.
+CACHE_PIECES, CACHE_CHARS = 300_000, 40
 
 
 class TokenCounter(dict):
@@ -42,10 +43,12 @@ class TokenCounter(dict):
         self._pieces = Splitter(PIECES)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
         symbols = [self.bytes[b] for b in piece.encode()]
-        count = self[piece] = len(symbols) - self.merges(symbols)
+        count = len(symbols) - self.merges(symbols)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = count
         return count
 
     def merges(self, symbols: list[str]) -> int:
