@@ -60,15 +60,17 @@ LIST = 4096
 SALT = 16
 #: Members that share one copy of a star's centre while they are confirmed, and classes that are linked at once in a map task.
 CHUNK, HEADS = 256, 10_000
-_CACHE_WORDS = 200_000
+_CACHE_WORDS, _CACHE_BYTES = 200_000, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _CACHE_BYTES:
+            if len(self) >= _CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -471,10 +473,10 @@ def _remaining_edges(members: DataFrame) -> DataFrame:
             yield _table(counted_schema, [slot[i : i + 100_000], total[slot[i : i + 100_000]]])
 
     top = members.select("text").mapInArrow(count, counted).groupBy("slot").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "slot").limit(COMMON).collect()
-    common = np.array([r.slot for r in top], np.int64)
+    common, times = (np.array([r[i] for r in top], np.int64) for i in (0, 1))
     order = np.argsort(common)
     # COMMON bounds it.
-    shared = spark.sparkContext.broadcast((common[order], np.array([r.k for r in top], np.int64)[order]))
+    shared = spark.sparkContext.broadcast((common[order], times[order]))
     posting = spark.createDataFrame([], "h long, c long, n int, at int, component long").schema
     posting_schema = arrow_schema(posting)
 
@@ -535,7 +537,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     # The likeliest partner of each class first; then what still joins two components.
     best = edges.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("best"))
-    links = stored(_confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts).unionByName(_same_document(rows, classes)))
+    links = _confirmed(best.select((-F.col("best.a")).alias("a"), "b"), texts)
+    several = _of_several_texts(rows)
+    links = stored(links if several is None else links.unionByName(_same_document(rows, classes, several)))
     found = components(links)
     # Components only grow: edges inside one are looked at no more.
     crossing = stored(_between(candidates, found).select("a", "b"))
@@ -558,6 +562,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     labelled = classes.select("k1", "k2", "n", "c").join(final, "c", "left").select("k1", "k2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "k1", "k2", "n").join(labelled, ["k1", "k2", "n"], "left")
+    if several is not None:  # an empty text of an id that has others is where they are
+        by_id = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("by_id"))
+        out = out.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "by_id"))
     # An empty set is a component of its own.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     for used in (texts, edges, candidates, crossing, members, remaining, links, second, third, *([found] if final is not found else [])):
@@ -565,15 +572,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links ``a < b`` between the classes of one id that has several texts."""
-    named = rows.where("doc_id IS NOT NULL AND n > 0")
+def _of_several_texts(rows: DataFrame) -> DataFrame | None:
+    """Ids whose rows have different sets; None if there is no such id."""
+    named = rows.where("doc_id IS NOT NULL")
     several = named.groupBy("doc_id").agg(*[f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2", "n") for f in (F.min, F.max)])
     several = stored(several.where("min_k1 <> max_k1 OR min_k2 <> max_k2 OR min_n <> max_n").select("doc_id"))
     if several.isEmpty():
-        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    of = named.join(several, "doc_id", "left_semi").join(classes.select("k1", "k2", "n", "c"), ["k1", "k2", "n"]).select("doc_id", "c").distinct()
-    of = stored(of)
+        discard(several)
+        return None
+    return several
+
+
+def _same_document(rows: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+    """Links ``a < b`` between the classes of one id that has several texts."""
+    of = rows.where("n > 0").join(several, "doc_id", "left_semi").join(classes.select("k1", "k2", "n", "c"), ["k1", "k2", "n"]).select("doc_id", "c").distinct()
     least = of.groupBy("doc_id").agg(F.min("c").alias("a"))
     return of.join(least, "doc_id").where("a < c").select("a", F.col("c").alias("b")).distinct()
 

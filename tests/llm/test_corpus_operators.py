@@ -395,6 +395,46 @@ def test_near_duplicates_odd_tables(spark, documents):
     assert minhash.near_duplicates(documents([])).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(documents):
+    """Texts of one id are one document: they link what each of them is near to."""
+    rng = random.Random(8)
+    a, b, c, d, e = (syllables(rng, 40) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (9, b), (3, c), (20, c + " end"), (30, d), (31, d), (31, None), (40, e), (40, e), (41, syllables(rng, 3)), (41, "")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (20, 3, False), (30, 30, True), (31, 30, False), (40, 40, True), (41, 41, True)}
+
+
+@pytest.mark.parametrize("limit", [1024, 12])
+def test_remaining_edges_are_all_that_cross(spark, monkeypatch, limit):
+    """The exact search gives every linked pair of different components, also of lists that are dealt out."""
+    monkeypatch.setattr(minhash, "LIST", limit)
+    rng = random.Random(limit)
+    common = syllables(rng, 30)
+    texts = []
+    for i in range(90):
+        words = (common + " " + syllables(rng, rng.randrange(8))).split()
+        at = rng.randrange(len(words))
+        texts.append(" ".join(words[:at] + [syllables(rng, 1)] * (i % 3 > 0) + words[at:]))
+    rows = [(i, i if i % 4 else 0, t) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "c long, component long, text string").repartition(3)
+    got = [(r.a, r.b) for r in minhash._remaining_edges(members).collect()]
+    sets = [minhash.shingles(t) for t in texts]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if rows[i][1] != rows[j][1] and minhash.linked(sets[i], sets[j])}
+    assert len(want) > 300 and want <= set(got) and len(got) == len(set(got))
+    assert all(rows[i][1] != rows[j][1] for i, j in got)
+
+
+def test_recall_over_small_sets(documents):
+    """Short texts just at the limit, against brute force."""
+    rng = random.Random(19)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 16))]
+        rows += [(4 * i, " ".join(words)), (4 * i + 1, " ".join([*words, "x"])), (4 * i + 2, " ".join(["y", *words, "z"])), (4 * i + 3, " ".join(words[:-1]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows).repartition(3)).collect()}
+    assert got == {d: c for d, _, c in components_of(rows)}
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(1)
     ids = list(range(200))
@@ -487,6 +527,35 @@ def test_repeats_odd_tables(documents):
     assert suffix_dedup.removed_bytes(documents([(1, text)])).first().n_removed == 0
 
 
+def test_repeats_with_equal_prefixes(documents):
+    """Windows that agree in all but their last or first byte, in periods and in many copies; anchors that very many share."""
+    rng = random.Random(12)
+    base = syllables(rng, 60)[:400]
+    texts = [base[:199] + chr(97 + i) + syllables(rng, 40)[: i % 5 * 40] for i in range(20)]
+    texts += [chr(97 + i) + base[100:299] for i in range(20)]
+    texts += [base[50:250], "q" + base[50:250], base[50:249] + "!", "ab" * 99 + "c", "ab" * 99 + "d", "ab" * 100, "ba" * 100 + "c", "x" * 199, "x" * 198 + "y", "a" * 1000]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_bytes(documents(list(enumerate(texts))).repartition(5)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the stages' own come through unchanged."""
+    import corpus_pipeline
+    from helixframe.llm import stages
+
+    names = ["_cut_key", "_cut_text", "dg", "kept", "row", "first", "rows", "component_id", "score", "c", "n", "at", "text_", "alike", "a.b"]
+    text = syllables(random.Random(4), 90)
+    rows = [(i, (text if i < 2 else syllables(random.Random(50 + i), 60)), 7, *[f"{k}{i}" for k in range(len(names))]) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"`{k}` string" for k in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, "/root/testdata/sf0.001")
+        assert out.columns == frame.columns, name
+        kept = {r["doc_id"]: tuple(r)[3:] for r in out.collect()}
+        assert kept and all(kept[i] == rows[i][3:] for i in kept), name
+    assert set(r.doc_id for r in stages.drop_near_copies(spark, frame, "").collect()) == {0, 2, 3, 4}
+    assert [len(r.text) for r in stages.cut_repeats(spark, frame, "").orderBy("doc_id").collect()][:2] == [0, 0]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="ab", min_size=400, max_size=900), st.randoms())
 def test_suffix_sort(text, rng):
