@@ -22,8 +22,10 @@ content, level by level, and each level settles most of what is left:
 
 All levels count by content with partial sums in the map tasks, so thousands of
 copies of one string meet as a few rows.  What tasks compare among each other
-are 128-bit BLAKE2 digests of the bytes themselves, and texts go by 128 bits of
-SHA-256: the polynomial hashes choose and sort, they decide nothing alone.
+are BLAKE2 digests of the bytes themselves, 128 bits for windows, and for runs
+and blocks 64 bits among those that share the 64 bits of their core; texts go
+by 128 bits of SHA-256.  The polynomial hashes choose and sort; they decide
+nothing alone.
 Only texts with something repeated are ever moved.
 
 Defined results: a null or empty text has no bytes; texts under ``LENGTH``
@@ -113,12 +115,16 @@ def blocks(h: PrefixHash, p: np.ndarray, first: np.ndarray, last: np.ndarray) ->
     return core, a, np.maximum(first[owner], a - BLOCK + 1), np.minimum(last[owner], a)
 
 
-def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, shape: np.ndarray | None = None) -> np.ndarray:
-    """Digests of parts of ``data`` as two numbers each; parts of another ``shape`` have others."""
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, words: int) -> np.ndarray:
+    """Digests of parts of ``data``: a row of ``words`` 64-bit numbers for each."""
     view = memoryview(data)
-    made = b"".join([hashlib.blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
-    out = np.frombuffer(made, "<u8").reshape(-1, 2)
-    return (out if shape is None else out ^ mix(shape.astype(np.uint64))[:, None]).view(np.int64)
+    made = b"".join([hashlib.blake2b(view[b:e], digest_size=8 * words).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(made, "<u8").reshape(-1, words)
+
+
+def shaped(data: np.ndarray, begin: np.ndarray, end: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """One number for the bytes of each part, another for another ``shape``."""
+    return digests(data, begin, end, 1)[:, 0] ^ mix(shape.astype(np.uint64))
 
 
 def common_extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int = LENGTH) -> np.ndarray:
@@ -209,25 +215,23 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Repeated rows and open ones of a level, and the tables behind them.
 
     ``rows`` have a hash ``core`` of what they share with their like, a digest
-    ``own``, ``own2`` of all their bytes, and ``at``, where they are.  Unique cores are
+    ``own`` of all their bytes, and ``at``, where they are.  Unique cores are
     gone; rows whose own bytes occur twice are repeated; of cores with different
     bytes one row of each kind is open, to be compared at the next level.
     """
-    own = ["own", "own2"]
-    shared = rows.groupBy("core").agg(F.count("*").alias("n"), *[f(k).alias(f"{f.__name__}_{k}") for k in own for f in (F.min, F.max)]).where("n > 1")
-    shared = shared.select("core", F.expr("min_own <> max_own OR min_own2 <> max_own2").alias("mixed"))
+    shared = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("own").alias("x"), F.max("own").alias("y")).where("n > 1").select("core", (F.col("x") != F.col("y")).alias("mixed"))
     # Written first, so that a join splits the rows of a core that very many share.
     shared = stored(shared)
     known = stored(rows.join(shared, "core"))
-    kinds = known.where("mixed").groupBy("core", *own).agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    kinds = known.where("mixed").groupBy("core", "own").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     kinds = stored(kinds)
-    twice = kinds.where("n > 1").select("core", *own)
-    repeated = known.where("NOT mixed").select("at").unionByName(known.where("mixed").join(twice, ["core", *own], "left_semi").select("at"))
+    twice = kinds.where("n > 1").select("core", "own")
+    repeated = known.where("NOT mixed").select("at").unionByName(known.where("mixed").join(twice, ["core", "own"], "left_semi").select("at"))
     return repeated, kinds.select("at"), [shared, known, kinds]
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    target, schema = _frame(docs.sparkSession, "core long, own long, own2 long, at struct<dg:binary,i:int>")
+    target, schema = _frame(docs.sparkSession, "core long, own long, at struct<dg:binary,i:int>")
 
     def run(batches):
         for batch in slices(batches):
@@ -238,20 +242,15 @@ def _anchors(docs: DataFrame) -> DataFrame:
                     continue
                 p, gram, first, last = runs(data, PrefixHash(data))
                 core.append(gram)
-                own.append(digests(data, first, last + LENGTH, (p - first) * 1024 + (last - first)))
+                own.append(shaped(data, first, last + LENGTH, (p - first) * 1024 + (last - first)))
                 dg += [hashlib.sha256(data).digest()[:16]] * len(gram)
                 number.append(np.arange(len(gram)))
             at = pa.StructArray.from_arrays([pa.array(dg, pa.binary()), pa.array(_joined(number, np.int32))], names=["dg", "i"])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), *_own(own), at.cast(schema.field(3).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), pa.array(_signed(own)), at.cast(schema.field(2).type)], schema=schema)
 
     return docs.select("text").mapInArrow(run, target)
 
 
-def _own(parts: list[np.ndarray]) -> list[pa.Array]:
-    both = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
-    return [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
-
-
 def _by_text(repeated: DataFrame, opened: DataFrame) -> DataFrame:
     """For each text the numbers of its repeated and open parts; a text's parts are as many as its bytes at most."""
     both = repeated.select("at", F.lit(1).alias("full"), F.lit(0).alias("open")).unionByName(opened.select("at", F.lit(0).alias("full"), F.lit(1).alias("open")))
@@ -262,7 +261,7 @@ def _by_text(repeated: DataFrame, opened: DataFrame) -> DataFrame:
 
 
 def _open_blocks(texts: DataFrame) -> DataFrame:
-    target, schema = _frame(texts.sparkSession, "core long, own long, own2 long, at struct<dg:binary,begin:int,finish:int>")
+    target, schema = _frame(texts.sparkSession, "core long, own long, at struct<dg:binary,begin:int,finish:int>")
 
     def run(batches):
         for batch in slices(batches):
@@ -275,12 +274,12 @@ def _open_blocks(texts: DataFrame) -> DataFrame:
                 p, _, first, last = runs(data, h)
                 c, whole, b, e = blocks(h, *(x[np.array(numbers)] for x in (p, first, last)))
                 core.append(c)
-                own.append(digests(data, b, e + LENGTH, (whole - b) * 1024 + (e - b)))
+                own.append(shaped(data, b, e + LENGTH, (whole - b) * 1024 + (e - b)))
                 dg += [key] * len(c)
                 begin.append(b)
                 end.append(e)
             at = pa.StructArray.from_arrays([pa.array(dg, pa.binary()), pa.array(_joined(begin, np.int32)), pa.array(_joined(end, np.int32))], names=["dg", "begin", "finish"])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), *_own(own), at.cast(schema.field(3).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(core)), pa.array(_signed(own)), at.cast(schema.field(2).type)], schema=schema)
 
     return texts.select("dg", "text", "open").mapInArrow(run, target)
 
@@ -305,10 +304,10 @@ def _windows(batches, counted: bool) -> Iterator[tuple]:
                 order, same = same_windows(data, h, chunk)
                 heads = np.flatnonzero(~same)
                 chunk, n = order[heads], np.diff(np.append(heads, len(order)))
-                yield digests(data, chunk, chunk + LENGTH), n
+                yield _window_digests(data, chunk), n
             else:
                 owner = np.searchsorted(offset, chunk, "right") - 1
-                yield digests(data, chunk, chunk + LENGTH), [held[o][0] for o in owner.tolist()], chunk - offset[owner]
+                yield _window_digests(data, chunk), [held[o][0] for o in owner.tolist()], chunk - offset[owner]
 
     for batch in slices(batches):
         for key, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), _spans(batch.column(2)), strict=True):
@@ -324,6 +323,11 @@ def _windows(batches, counted: bool) -> Iterator[tuple]:
         yield from flush()
 
 
+def _window_digests(data: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    made = digests(data, starts, starts + LENGTH, 2).view(np.int64)
+    return [pa.array(np.ascontiguousarray(made[:, k])) for k in (0, 1)]
+
+
 def _repeated_windows(texts: DataFrame) -> DataFrame:
     """``dg, start`` of open windows that occur at least twice."""
     counts, count_schema = _frame(texts.sparkSession, "w1 long, w2 long, n long")
@@ -331,11 +335,11 @@ def _repeated_windows(texts: DataFrame) -> DataFrame:
 
     def count(batches):
         for own, n in _windows(batches, True):
-            yield pa.RecordBatch.from_arrays([*_own([own]), pa.array(n.astype(np.int64))], schema=count_schema)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64))], schema=count_schema)
 
     def place(batches):
         for own, dg, s in _windows(batches, False):
-            yield pa.RecordBatch.from_arrays([*_own([own]), pa.array(dg, pa.binary()), pa.array(s.astype(np.int32))], schema=place_schema)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(dg, pa.binary()), pa.array(s.astype(np.int32))], schema=place_schema)
 
     twice = texts.mapInArrow(count, counts).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
     return texts.mapInArrow(place, places).join(twice, ["w1", "w2"], "left_semi").select("dg", "start")
