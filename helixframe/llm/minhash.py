@@ -53,13 +53,13 @@ BINS, ROWS, SKETCH = 256, 5, 128
 #: Standard errors below the least similarity at which a candidate is dropped unseen.
 SPREAD = 5.0
 #: Bits of a hash by which its commonness is counted, and commonest values told apart, at most.
-SLOT_BITS, COMMON = 22, 200_000
+SLOT_BITS, COMMON = 22, 65_536
 #: Members of a posting list that one task compares; longer lists are dealt out in pieces of this size.
-LIST = 4096
+LIST = 1024
 #: Copies of a component's mark, so that one with most of the members is joined in several tasks.
 SALT = 16
 #: Members that share one copy of a star's centre while they are confirmed, and classes that are linked at once in a map task.
-CHUNK, HEADS = 256, 10_000
+CHUNK, HEADS = 256, 2_000
 _CACHE_WORDS, _CACHE_BYTES = 200_000, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,17 +195,22 @@ def _bucket_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     return b[order], c[order], n[order]
 
 
-def _edges_of(b: np.ndarray, c: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate edges of sorted bucket rows; buckets of one are passed over at once."""
+def _edges_of(b: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """Candidate edges of sorted bucket rows, some at a time; buckets of one are passed over at once."""
     same = np.append(b[1:] == b[:-1], False)
-    shared = same | np.append(False, same[:-1])
+    shared = np.flatnonzero(same | np.append(False, same[:-1]))
     edges: set[tuple[int, int]] = set()
     last, tail = None, None
-    for band, x, k in zip(b[shared].tolist(), c[shared].tolist(), n[shared].tolist(), strict=True):
-        if band != last:
-            last, tail = band, _Tail()
-        edges.update(tail.add(x, k))
-    return list(edges)
+    for i in range(0, len(shared), 20_000):
+        at = shared[i : i + 20_000]
+        for band, x, k in zip(b[at].tolist(), c[at].tolist(), n[at].tolist(), strict=True):
+            if band != last:
+                last, tail = band, _Tail()
+            edges.update(tail.add(x, k))
+        if len(edges) > 50_000:
+            yield list(edges)
+            edges.clear()
+    yield list(edges)
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -218,8 +223,8 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     def local(batches):
         for batch in slices(batches, HEADS):
-            edges = _edges_of(*_bucket_rows(batch))
-            yield _table(edge_schema, list(zip(*edges, strict=True)) or [[], []])
+            for edges in _edges_of(*_bucket_rows(batch)):
+                yield _table(edge_schema, list(zip(*edges, strict=True)) or [[], []])
 
     def heads(batches):
         """The smallest and the largest class for each bucket of a batch and each size range.
@@ -472,8 +477,8 @@ def _remaining_edges(members: DataFrame) -> DataFrame:
         for i in range(0, len(slot), 100_000):
             yield _table(counted_schema, [slot[i : i + 100_000], total[slot[i : i + 100_000]]])
 
-    top = members.select("text").mapInArrow(count, counted).groupBy("slot").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "slot").limit(COMMON).collect()
-    common, times = (np.array([r[i] for r in top], np.int64) for i in (0, 1))
+    top = members.select("text").mapInArrow(count, counted).groupBy("slot").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "slot").limit(COMMON).toArrow()
+    common, times = (top.column(i).to_numpy().astype(np.int64) for i in (0, 1))
     order = np.argsort(common)
     # COMMON bounds it.
     shared = spark.sparkContext.broadcast((common[order], times[order]))
