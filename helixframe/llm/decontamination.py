@@ -12,6 +12,13 @@ that stays inside the band.
 
 Texts are compared in lower case with white space runs as one space.
 
+A benchmark of up to ``BLOCK_CHARS`` is one index, sent to every task, and one
+scan.  A larger one is first condensed to a bitmap of its q-grams; one scan
+with that leaves the few texts that can hold a window at all, and only these
+are searched for each block of the benchmark.  Items so short and so freely
+edited that few shared q-grams are enough for them are kept apart and searched
+for in all texts, block by block.
+
 A window is looked for inside each text alone, so results do not depend on
 which texts are searched together.  Items under ``Q`` bytes have no q-gram;
 they are matched exactly, as whole words, by an Aho-Corasick automaton.
@@ -36,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _typed
-from .common import arrow_schema
+from .common import arrow_schema, slices, stored
 
 #: q-gram length, window length and step, characters to each allowed edit.
 Q, WINDOW, STEP, PER_EDIT = 12, 120, 60, 15
@@ -281,23 +288,93 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Benchmark
         yield Benchmark(held)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+class Screen:
+    """A bitmap of all q-grams of a benchmark, whatever its size: tells texts that may hold a window, and loses none.
+
+    A full window of either kind shares at least ``NEEDED`` of its q-grams with
+    a region of at most ``REACH`` places, so a text without so many marked
+    q-grams in so few places holds no window.  Items that are a shorter window
+    by themselves may share fewer; they are not for this (``dense``).
+    """
+
+    NEEDED = min(SHORT - Q + 1 - SHORT_EDITS * Q, WINDOW - Q + 1 - (WINDOW // PER_EDIT) * Q)
+    REACH = WINDOW + WINDOW // PER_EDIT
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.marks = np.zeros(1 << bits - 3, np.uint8)
+
+    @classmethod
+    def dense(cls, text: str | None) -> bool:
+        """Whether all windows of an item share enough."""
+        n = len(normalise(text))
+        return n >= WINDOW or n >= Q and n - Q + 1 - min(n // PER_EDIT, (n - Q) // Q) * Q >= cls.NEEDED
+
+    def add(self, block: Benchmark) -> None:
+        at = (block.keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        np.bitwise_or.at(self.marks, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+
+    def may_hold(self, text: str | None) -> bool:
+        data = normalise(text)
+        if len(data) < Q:
+            return False
+        at = (grams(np.frombuffer(data, np.uint8)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        marked = (self.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        total = np.concatenate([[0], np.cumsum(marked, dtype=np.int64)])
+        reach = min(self.REACH, len(marked))
+        return bool((total[reach:] - total[:-reach]).max() >= self.NEEDED)
+
+
+def _screened(docs: DataFrame, dense: DataFrame, columns: list[str], text: str, chars: int) -> DataFrame:
+    """The texts that may hold an item, written: all documents are read once for this."""
+    size = dense.agg(F.sum(F.octet_length("text"))).first()[0]
+    screen = Screen(min(30, max(24, int(16 * size).bit_length())))  # at most 128 MB
+    for block in blocks(dense, chars):
+        screen.add(block)
+    shared = docs.sparkSession.sparkContext.broadcast(screen)
+
+    @F.pandas_udf("boolean")
+    def may_hold(texts: pd.Series) -> pd.Series:
+        return texts.map(shared.value.may_hold, na_action=None).astype(bool)
+
+    return stored(docs.select(*columns).where(may_hold(F.col(text))))
+
+
+def _leaks_of(docs: DataFrame, block: Benchmark, key: str, text: str, target) -> DataFrame:
+    schema = arrow_schema(target)
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS bounds it
+
+    def run(batches):
+        for batch in slices(batches):
+            keys = batch.column(0).to_pylist()
+            rows = [(keys[i], item, n, d) for i, item, n, d in shared.value.leaks(batch.column(1).to_pylist())]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return docs.select(key, text).mapInArrow(run, target)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", chars: int = BLOCK_CHARS) -> DataFrame:
     """``key, item_id, n_windows, edits`` for each benchmark item found in each text."""
     spark = docs.sparkSession
     target = spark.createDataFrame([], f"{_typed(docs, key)}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, edits long").schema
-    schema = arrow_schema(target)
     out = spark.createDataFrame([], target)
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)  # BLOCK_CHARS bounds it
+    every = blocks(benchmark, chars)
+    first, second = next(every, None), next(every, None)
+    if second is None:
+        return out if first is None else _leaks_of(docs, first, key, text, target)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                keys = batch.column(0).to_pylist()
-                rows = [(keys[i], item, n, d) for i, item, n, d in shared.value.leaks(batch.column(1).to_pylist())]
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-        out = out.unionByName(docs.select(key, text).mapInArrow(run, target))
+    @F.pandas_udf("boolean")
+    def dense(texts: pd.Series) -> pd.Series:
+        return texts.map(Screen.dense, na_action=None).astype(bool)
+
+    marked = stored(benchmark.select("item_id", "text", dense(F.col("text")).alias("dense")))
+    parts = [(docs, marked.where("NOT dense"))]
+    if not marked.where("dense").isEmpty():
+        parts.append((_screened(docs, marked.where("dense"), [key, text], text, chars), marked.where("dense")))
+    for texts, items in parts:
+        for block in blocks(items, chars):
+            out = out.unionByName(_leaks_of(texts, block, key, text, target))
     return out
 
 
@@ -312,8 +389,21 @@ def _clean(shared):
     return clean
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in whose text no benchmark item is found; all columns stay."""
-    for block in blocks(benchmark):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block))(F.col(text)))
-    return docs
+    every = blocks(benchmark, chars)
+    first, second = next(every, None), next(every, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.where(_clean(docs.sparkSession.sparkContext.broadcast(first))(F.col(f"`{text}`")))
+    # More than one block: the texts that are found, by digest, are joined out.
+    texts = docs.select(F.col(f"`{text}`").alias("text"), digest_of(text).alias("id"))
+    found = stored(find_leaks(texts, benchmark, "text", "id", chars).select(F.col("id").alias("leaked")).distinct())
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest_of(text).alias("id"))
+    left = row.join(found, row["id"] == found["leaked"], "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def digest_of(text: str):
+    return F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)

@@ -88,7 +88,47 @@ QUERIES = {
     )
 }
 
+
+
+def _repeats_sql(length: int = suffix_dedup.LENGTH) -> str:
+    """Strings of ``length`` bytes compared by hashes that double their reach; places of repeated ones joined to spans."""
+    steps, reach = [], 1
+    while reach * 2 < length:
+        steps.append(f"h{2 * reach} AS (SELECT doc_id, list_transform(range(1, len(h) - {reach} + 1), lambda j: hash(h[j], h[j + {reach}])) AS h FROM h{reach})")
+        reach *= 2
+    rest = length - reach
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+h1 AS (SELECT row AS doc_id, list_transform(b, lambda x: hash(x)) AS h FROM d WHERE len(b) >= {length}), {", ".join(steps)},
+w AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(h) - {rest - 1})) AS i, unnest(list_transform(range(1, len(h) - {rest - 1}), lambda j: hash(h[j], h[j + {rest}]))) AS h FROM h{reach}),
+t AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+f AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN t ON w.h = t.h),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + {length} AS z FROM g GROUP BY doc_id, k),
+o AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS n, count(*) AS k FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(b)::BIGINT AS n_bytes, coalesce(o.n, 0)::BIGINT AS n_removed, coalesce(o.k, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN o.k IS NULL THEN array_to_string(b, '') ELSE array_to_string(flatten(list_transform(range(0, o.k::BIGINT + 1), lambda j:
+    list_slice(b, CASE WHEN j = 0 THEN 1 ELSE o.z[j] END, CASE WHEN j = o.k THEN len(b) ELSE o.a[j + 1] - 1 END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.row
+"""
+
+
 ORACLES = {
+    "op2_suffix_array_dedup": _repeats_sql(),
+    "op10_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n m ON m.doc_id = p.a JOIN n o ON o.doc_id = p.b WHERE 100 * common >= 75 * (m.n + o.n - common)
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id))::BIGINT AS component_id, d.doc_id <= coalesce(c.low, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+""",
     "op1_chat_formatting": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

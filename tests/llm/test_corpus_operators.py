@@ -180,6 +180,9 @@ def test_decontamination(spark, documents):
     assert decontamination.find_leaks(documents([]), benchmark).count() == 0
     assert decontamination.find_leaks(documents(rows), benchmark.where("false")).count() == 0
     # In blocks of one item each, the same.
+    assert {tuple(r) for r in decontamination.find_leaks(documents(rows), benchmark, chars=1).collect()} == {tuple(r) for r in found}
+    assert sorted(r.doc_id for r in decontamination.without_leaks(documents(rows), benchmark, chars=1).collect()) == sorted(r.doc_id for r in clean.collect())
+    assert decontamination.without_leaks(documents(rows), benchmark, chars=1).columns == documents(rows).columns
     many = list(decontamination.blocks(benchmark, chars=1))
     assert len(many) > 15 and sum(len(b.windows) for b in many) == sum(len(b.windows) for b in decontamination.blocks(benchmark))
 
@@ -262,6 +265,25 @@ def test_leaks_equal_full_alignments_of_each_text(spark, documents, seed):
         assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if not any(j == i for j, _ in want)]
 
 
+def test_screen_loses_nothing():
+    """Every text in which a window is found passes the bitmap."""
+    rng = random.Random(77)
+    items = [(i, syllables(rng, 30 + 6 * i)) for i in range(12)]
+    items = [(i, t) for i, t in items if decontamination.Screen.dense(t)]
+    assert len(items) >= 8 and not decontamination.Screen.dense(None) and not decontamination.Screen.dense("a short item of many edits")
+    known, screen = decontamination.Benchmark(items), decontamination.Screen(24)
+    screen.add(known)
+    passed = 0
+    for i in range(600):
+        item = items[rng.randrange(len(items))][1]
+        at = rng.randrange(len(item))
+        text = " ".join([syllables(rng, rng.randrange(4)), edited(rng, item[at : at + rng.randrange(12, 200)], rng.randrange(8)) if i % 2 else "", syllables(rng, 20)])
+        passed += screen.may_hold(text)
+        assert screen.may_hold(text) or not known.search(decontamination.normalise(text))
+    assert 100 < passed < 400
+    assert not screen.may_hold(None) and not screen.may_hold("") and not screen.may_hold("x" * 11)
+
+
 def test_huge_items_come_in_parts(spark):
     rng = random.Random(21)
     item = syllables(rng, 900)

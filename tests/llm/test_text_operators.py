@@ -128,6 +128,22 @@ def test_media_round_trip(data, times):
     assert len(found.cues) == len(found.clusters) and all(found.clusters[i] == c[2] for i, c in enumerate(found.cues))
 
 
+def test_media_from_bytes_by_hand():
+    """A file spelled out from the format's description: unknown segment size, a track, one Xiph-laced block, one cue."""
+    data = bytes.fromhex(
+        "1A45DFA3 8B 4282 88 6D6174726F736B61"  # EBML header: document type
+        "18538067 01FFFFFFFFFFFFFF"  # segment of unknown size
+        "1549A966 87 2AD7B1 83 0F4240"  # info: a millisecond to the tick
+        "1654AE6B 8C AE 8A D7 81 05 86 85 415F582F59"  # track 5, codec A_X/Y
+        "1F43B675 93 E7 82 01F4"  # cluster at 500
+        "A3 8D 85 000A 02 01 03 616263 64656667"  # block: track 5, 10 later, Xiph lacing of two frames, the first of 3 bytes
+        "1C53BB6B 8E BB 8C B3 82 01F4 B7 86 F7 81 05 F1 81 1D"  # cue: 500, track 5, cluster at 29
+    )
+    found = media.parse(data)
+    assert (found.doc_type, found.tracks, found.clusters, found.cues, found.lacings) == ("matroska", {5: "A_X/Y"}, [29], [(500, 5, 29)], {media.XIPH})
+    assert [(t, s, data[o : o + n], c) for t, s, o, n, c in found.packets] == [(5, 510, b"abc", 0), (5, 510, b"defg", 0)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(max_size=700), min_size=1, max_size=9), st.sampled_from([media.XIPH, media.EBML_LACING, media.FIXED, media.NO_LACING]), st.booleans())
 def test_lacings(frames, lacing, group):
