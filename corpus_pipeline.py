@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import stages
-from helixframe.llm.common import read_table, stored
+from helixframe.llm.common import discard, read_table, stored
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -24,10 +24,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written before the next reads it."""
+    """All stages over ``documents``; what a stage returns is written before the next reads it, and deleted after."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = stored(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

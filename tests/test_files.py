@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import region
 from helixframe.plans.header import parse_header
 from helixframe.plans.variants import parse_records
+from helixframe.records import stream
 from helixframe.sources import bgzf, datasource, read, tabix, write
 from helixframe.streaming.lines import read_stream
 
@@ -122,12 +123,122 @@ def test_write_sorted(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "parts")).count() == 3
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_index_written_with_the_file(spark, files, tmp_path, parts):
+    """The sink's index, the one tasks build of a file, and the one built line by line are the same."""
+    folder, _ = files
+    h = read.read_header(spark, str(folder / "x.vcf"))
+    v = read.read_vcf(spark, str(folder / "x.vcf"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        path = str(tmp_path / "i.vcf.gz")
+        write.write_vcf(v, h, path, order=write.contig_order(h), index=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    slow = tabix.build_index(path)
+    data = tabix.encode(slow)
+    assert tabix.encode(tabix.read_index(f"{path}.tbi")) == data
+    with_tasks = tabix.read_index(tabix.write_index(path, str(tmp_path / "tasks.tbi"), spark))
+    places = lambda i: {c: ([(b, [x[0] for x in cs]) for b, cs in sorted(s.bins.items())], s.linear) for c, s in i.sequences.items()}
+    assert places(with_tasks) == places(slow)
+    assert not list(tmp_path.glob("*.parts-*"))
+    with pytest.raises(ValueError):
+        write.write_vcf(v, h, str(tmp_path / "i.vcf"), index=True)
+
+
+def test_index_beside_the_file(spark, files):
+    folder, text = files
+    path = str(folder / "x.vcf.gz")
+    reader = read.Reader.from_path(spark, path)
+    assert reader.tabix_path.endswith("x.vcf.gz.tbi")
+    got = reader.fetch("a:100,000")
+    assert "vcf" in got._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted(got.toPandas().line.tolist()) == sorted(expected(text, "a", 100_000, None))
+    assert read.Reader.from_path(spark, str(folder / "plain.vcf.gz")).tabix_path is None
+    with pytest.raises(ValueError, match="unknown sequence"):
+        reader.fetch("zz")
+    assert reader.fetch("a", 10**8, 10**8 + 5).count() == 0
+
+
+def test_tabix_file(spark, files):
+    folder, text = files
+    with tabix.TabixFile(spark, str(folder / "x.vcf.gz")) as f:
+        assert f.references == ["b", "a"]
+        assert sorted(r.value for r in f.fetch("a", 1, 500).collect()) == sorted(expected(text, "a", 1, 500))
+        assert sorted(r.value for r in f.fetch(region="b:400,000").collect()) == sorted(expected(text, "b", 400_000, None))
+        assert f.fetch(reference="a").count() == len(expected(text, "a", None, None))
+        for bad in ({"reference": "q"}, {"region": "a:1-2", "reference": "a"}, {"start": 1}):
+            with pytest.raises(ValueError):
+                f.fetch(**bad)
+    assert f.closed
+    with pytest.raises(ValueError):
+        f.fetch("a")
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    with pytest.raises(Exception, match="nothing.vcf.gz"):
+        read.read_lines(spark, str(tmp_path / "nothing.vcf.gz"))
+    with gzip.open(tmp_path / "plain.vcf.bgz", "wt") as f:
+        f.write(HEAD)
+    with pytest.raises(ValueError, match="blocks"):
+        read.read_lines(spark, str(tmp_path / "plain.vcf.bgz"))
+
+
+@pytest.mark.parametrize("name", ["l.vcf", "l.vcf.gz"])
+def test_encoding(spark, tmp_path, name):
+    text = HEAD.replace('Description="d"', 'Description="größe"') + "a\t1\té\tA\tC\t.\t.\tDP=1\tGT\t0\n"
+    path = str(tmp_path / name)
+    data = text.encode("latin-1")
+    with open(path, "wb") as f:
+        f.write(bgzf.compress_all(data) + bgzf.EOF_BLOCK if name.endswith("gz") else data)
+    v = read.read_vcf(spark, path, encoding="latin-1" if name.endswith("gz") else "ISO-8859-1")
+    assert v.first().id == ["é"]
+    assert "größe" in read.read_header(spark, path, encoding="ISO-8859-1").to_text()
+
+
+def test_streams(spark, tmp_path):
+    lines = [*HEAD.splitlines(), *(f"a\t{p}\t.\tA\tC\t.\t.\t.\tGT\t0" for p in (9, 3, 5))]
+    text = "\n".join(lines) + "\n"
+    reader = read.Reader.from_stream(spark, io.StringIO(text))
+    assert [x.pos for x in reader] == [9, 3, 5]
+    with pytest.raises(ValueError):
+        read.Reader.from_stream(spark, io.StringIO(text), tabix_path="x.tbi")
+    made = list(stream(reader.variants().orderBy("line_no"), reader.header))
+    (tmp_path / "plain").mkdir()
+    with open(tmp_path / "plain" / "t.vcf", "w") as raw, write.Writer.from_stream(raw, reader.header) as out:
+        out.write(reader.variants())
+        for r in made:
+            out.write_record(r)
+    assert (tmp_path / "plain" / "t.vcf").read_text() == text + "".join(x + "\n" for x in lines[-3:])
+    for target in ("o.vcf", "o.vcf.gz"):
+        with write.Writer.from_path(str(tmp_path / target), reader.header) as out:
+            for r in made:
+                out.write_record(r)
+            with pytest.raises(ValueError):
+                out.write(reader.variants())
+        assert (gzip.open if target.endswith("gz") else open)(tmp_path / target, "rt").read() == text
+    with open(tmp_path / "b.gz", "wb") as raw, write.Writer.from_stream(raw, reader.header, use_bgzf=True) as out:
+        out.write_record(made[0])
+    assert gzip.open(tmp_path / "b.gz", "rt").read() == "\n".join(lines[:-2]) + "\n"
+    with write.Writer.from_path(str(tmp_path / "empty.vcf"), reader.header):
+        pass
+    assert (tmp_path / "empty.vcf").read_text() == HEAD
+    with write.Writer.from_path(str(tmp_path / "frame.vcf"), reader.header) as out:
+        out.write(reader.variants())
+        with pytest.raises(ValueError):
+            out.write_record(made[0])
+    assert (tmp_path / "frame.vcf").read_text() == text
+    with pytest.raises(ValueError):
+        write.Writer(None, reader.header)
+
+
 def test_blocks():
     data = bytes(random.Random(3).randbytes(200_000)) + b"x" * 200_000
     packed = bgzf.compress_all(data) + bgzf.EOF_BLOCK
     assert gzip.decompress(packed) == data
-    stream = io.BytesIO(packed)
-    assert bgzf.next_block(stream, 0) == 0 and bgzf.next_block(stream, 1) == bgzf.block_size(packed[:18])
+    packed_file = io.BytesIO(packed)
+    assert bgzf.next_block(packed_file, 0) == 0 and bgzf.next_block(packed_file, 1) == bgzf.block_size(packed[:18])
     broken = bytearray(packed)
     broken[bgzf.block_size(packed[:18]) - 8] ^= 1
     with pytest.raises(ValueError):
@@ -179,6 +290,16 @@ def test_fetch_many(spark, files):
     got = region.fetch_many(v, spark.createDataFrame(asked, "region_id string, chrom string, start long, end long")).select("region_id", "line").toPandas()
     for r, c, s, e in asked:
         assert sorted(got[got.region_id == r].line) == sorted(expected(text, c, s, e))
+    # Open ends, whole sequences, wide regions, and columns named like the operator's own.
+    asked = [("r1", "a", 100, None), ("r2", "b", None, None), ("r3", "a", None, 9000), ("r4", "b", 5, 1 << 28), ("r5", "a", 300, 400), ("r6", "b", 0, 0)]
+    taken = v.withColumn("filed", F.lit("x")).withColumn("region_key", F.lit(7)).withColumn("_bin", F.lit(1))
+    out = region.fetch_many(taken, spark.createDataFrame(asked, "region_id string, chrom string, start long, end long"))
+    assert out.columns == ["region_id", *taken.columns]
+    got = out.select("region_id", "line", "filed", "region_key").toPandas()
+    assert set(got.filed) == {"x"} and set(got.region_key) == {7}
+    for r, c, s, e in asked:
+        assert sorted(got[got.region_id == r].line) == sorted(expected(text, c, s, e)), r
+    assert region.fetch_many(v, spark.createDataFrame([], "region_id string, chrom string, start long, end long")).count() == 0
     with pytest.raises(ValueError):
         region.fetch(v, "z:1-2", contigs=["a", "b"])
 
@@ -198,8 +319,8 @@ def test_stream(spark, files, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.vcf").write_text(text)
     (tmp_path / "in" / "2.vcf").write_text("b\t1\t.\tA\tC\t.\t.\tDP=5\tGT\t0\nbad line\n")
-    stream = read_stream(spark, str(tmp_path / "in"), parse_header(HEAD.splitlines()), files_per_trigger=1)
-    q = stream.select("chrom", "pos", "info_t.DP", F.col("error").isNotNull().alias("bad")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    arriving = read_stream(spark, str(tmp_path / "in"), parse_header(HEAD.splitlines()), files_per_trigger=1)
+    q = arriving.select("chrom", "pos", "info_t.DP", F.col("error").isNotNull().alias("bad")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.sql("SELECT count(*) AS n, sum(CAST(bad AS INT)) AS bad FROM arrived").first()
     assert (rows.n, rows.bad) == (30_002, 1)

@@ -139,6 +139,14 @@ def test_edits(spark):
     assert edit.drop_info(v, "DP").select(render.record_line(h)).first()[0].split("\t")[7] == "DB"
 
 
+def test_edits_leave_other_columns_alone(spark):
+    v = read.from_lines(spark, [*HEAD, "1\t5\t.\tA\tC\t.\t.\tDP=1\tGT\t0/1\t1"]).withColumn("_text", F.lit("mine")).withColumn("text", F.lit("too"))
+    e = edit.set_call_value(edit.set_info(v, "DP", F.lit(7)), "DP", F.lit(3))
+    assert e.columns == v.columns
+    r = e.first()
+    assert (r._text, r.text, r.info["DP"]) == ("mine", "too", "7") and [c.data["DP"] for c in r.calls] == ["3", "3"]
+
+
 def test_unparsed(spark):
     h = parse_header(HEAD, ["B"])
     v = read.from_lines(spark, ["1\t5\t.\tA\tC\t.\t.\t.\tGT:DP\t0/1:9\t1"], h)
