@@ -113,7 +113,41 @@ FROM d LEFT JOIN o ON o.doc_id = d.row
 """
 
 
+def _licenses_sql() -> str:
+    """Signatures by the database's own expression engine, every pair of spans of a text compared.
+
+    Each word has a space of its own on both sides there, so that matches need not look ahead.
+    """
+
+    def spread(x: str) -> str:
+        kept = x.replace("[^ ]", "\0").replace(" ?", "\1")
+        return kept.replace(" ", "  ").replace("\1", "(?:  )?").replace("\0", "[^ ]")
+
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    signatures = ", ".join(f"({i}, '{label}', {p}, {c}::DOUBLE, {listed(keys)}, ' {spread(x)} ')" for i, (label, p, c, keys, x) in enumerate(licenses.SIGNATURES))
+    base = ", ".join(f"('{label}', {listed(phrase)})" for phrase, label in licenses.BASE)
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+l AS MATERIALIZED (SELECT row, doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, '  ') || ' ' ELSE '' END AS line FROM d),
+base(label, words) AS (VALUES {base}),
+p AS (SELECT row, label, unnest(list_filter(range(0, len(w) - len(words) + 1), lambda i: list_slice(w, i + 1, i + len(words)) = words)) AS place FROM l JOIN base ON list_has_all(w, words)),
+b AS (SELECT row, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM p GROUP BY row),
+s(i, label, p, c, keys, x) AS (VALUES {signatures}),
+m AS MATERIALIZED (SELECT row, i, label, p, c, regexp_extract_all(line, x) AS t, string_split_regex(line, x) AS parts FROM l JOIN s ON list_has_all(w, keys)),
+u AS (SELECT row, i, label, p, c, t, parts, unnest(range(1, len(t) + 1)) AS k FROM m WHERE len(t) > 0),
+v AS MATERIALIZED (SELECT row, i, label, p, c, (list_sum(list_transform(list_slice(parts, 1, k), lambda y: length(y))) + coalesce(list_sum(list_transform(list_slice(t, 1, k - 1), lambda y: length(y))), 0))::BIGINT AS a, length(t[k]) AS size FROM u),
+e AS (SELECT f.* FROM v f WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.row = f.row AND (o.p > f.p AND o.a < f.a + f.size AND f.a < o.a + o.size
+   OR o.p = f.p AND o.a <= f.a AND o.a + o.size >= f.a + f.size AND (o.a <> f.a OR o.size <> f.size OR o.i < f.i)))),
+g AS (SELECT row, list(DISTINCT label) AS labels, max(c) AS best FROM e GROUP BY row)
+SELECT l.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(g.labels, [])))), ',') AS labels, greatest(coalesce(g.best, 0), CASE WHEN b.n > 0 THEN 0.9 ELSE 0 END)::DOUBLE AS score
+FROM l LEFT JOIN b ON b.row = l.row LEFT JOIN g ON g.row = l.row
+"""
+
+
 ORACLES = {
+    "op7_license_scans": _licenses_sql(),
     "op2_suffix_array_dedup": _repeats_sql(),
     "op10_minhash_near_dedup": r"""
 WITH RECURSIVE d AS (

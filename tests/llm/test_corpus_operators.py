@@ -426,7 +426,7 @@ def test_near_duplicates_with_repeated_ids(documents):
     assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (20, 3, False), (30, 30, True), (31, 30, False), (40, 40, True), (41, 41, True)}
 
 
-@pytest.mark.parametrize("limit", [1024, 12])
+@pytest.mark.parametrize("limit", [400, 5])
 def test_remaining_edges_are_all_that_cross(spark, monkeypatch, limit):
     """The exact search gives every linked pair of different components, also of lists that are dealt out."""
     monkeypatch.setattr(minhash, "LIST", limit)
@@ -621,14 +621,37 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_stages_on_odd_tables(spark, documents, sf_dir):
-    """Empty tables, nulls, repeated rows and extra columns pass through every stage."""
+    """Empty tables, nulls, repeated rows, extra columns and very long texts pass through every stage, with the results that are stated."""
     import corpus_pipeline
-
-    text = syllables(random.Random(5), 60)
-    odd = documents([(1, None), (2, ""), (None, text), (4, "short"), (4, "short"), (5, text * 40)])
-    for frame, least in ((documents([]), 0), (odd, 4)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, frame, sf_dir)
-            assert out.count() >= least, name
-            if name != "bpe":
-                assert out.columns == frame.columns
+    from helixframe.llm import stages, toxicity
+    from helixframe.llm.common import read_table
+
+    rng = random.Random(5)
+    text, leak = syllables(rng, 60), read_table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    long = syllables(rng, 15_000)
+    rows = [(1, None), (2, ""), (None, text), (4, "short"), (4, "short"), (5, text * 3), (6, long), (7, long + " end"), (8, f"{long[:20_000]} {leak} {syllables(rng, 9)}"), (None, None), (9, " \n ")]
+    odd = documents(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, documents([]), sf_dir)
+        assert out.count() == 0 and (name == "bpe" or out.columns == odd.columns), name
+
+    def ids(frame):
+        assert frame.columns == odd.columns
+        found = frame.collect()
+        assert all((r.lang, r.source, r.n_tokens, r.score) == ("en", "s", 7, "x") for r in found)
+        return sorted((str(r.doc_id) for r in found))
+
+    every = sorted(str(i) for i, _ in rows)
+    lexicon = toxicity.fit(odd, read_table(spark, sf_dir, "labels"))
+    assert ids(stages.drop_toxic(spark, odd, sf_dir)) == sorted(str(i) for i, t in rows if lexicon.score(t) < toxicity.REJECT)
+    linked = components_of([(i, t) for i, t in rows if i is not None])
+    gone = {str(i) for i, _, c in linked if c != i}
+    assert "7" in gone and ids(stages.drop_near_copies(spark, odd, sf_dir)) == [i for i in every if i not in gone]
+    cut = stages.cut_repeats(spark, odd, sf_dir)
+    assert ids(cut) == every
+    want = sorted((str(i), n - k) for (i, _), (n, k, *_) in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
+    assert sorted((str(r.doc_id), len((r.text or "").encode())) for r in cut.collect()) == want
+    assert all(r.n_chars == len(r.text or "") for r in cut.collect())
+    assert ids(stages.drop_leaks(spark, odd, sf_dir)) == [i for i in every if i != "8"]
+    coded = stages.encode(spark, odd, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.n_tokens == 0) for r in coded) == sorted((str(i), not (t or "").strip()) for i, t in rows)
