@@ -54,8 +54,9 @@ BINS, ROWS, SKETCH = 256, 5, 128
 SPREAD = 5.0
 #: Bits of a hash by which its commonness is counted, and commonest values told apart, at most.
 SLOT_BITS, COMMON = 22, 65_536
-#: Members of a posting list that one task compares; longer lists are dealt out in pieces of this size.
-LIST = 1024
+#: Members of a posting list that are compared in one go; longer lists are dealt out in pieces of this size, or of
+#: four times the root of the list's length: a piece grows slower than the number of pieces does.
+LIST = 400
 #: Copies of a component's mark, so that one with most of the members is joined in several tasks.
 SALT = 16
 #: Members that share one copy of a star's centre while they are confirmed, and classes that are linked at once in a map task.
@@ -469,13 +470,13 @@ def _remaining_edges(members: DataFrame) -> DataFrame:
     counted_schema = arrow_schema(counted)
 
     def count(batches):
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.int32)
         for batch in slices(batches):
             for t in batch.column(0):
                 np.add.at(total, _slot(shingles(t.as_py())), 1)
-        slot = np.flatnonzero(total)
-        for i in range(0, len(slot), 100_000):
-            yield _table(counted_schema, [slot[i : i + 100_000], total[slot[i : i + 100_000]]])
+        for i in range(0, len(total), 1 << 17):
+            slot = np.flatnonzero(total[i : i + (1 << 17)])
+            yield _table(counted_schema, [slot + i, total[slot + i].astype(np.int64)])
 
     top = members.select("text").mapInArrow(count, counted).groupBy("slot").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "slot").limit(COMMON).toArrow()
     common, times = (top.column(i).to_numpy().astype(np.int64) for i in (0, 1))
@@ -518,7 +519,7 @@ def _dealt(postings: DataFrame, long: DataFrame) -> DataFrame:
     member goes to its own range and, as a guest, to the next.  A range's members are
     dealt into pieces, and each pair of pieces is a part.
     """
-    pieces = F.ceil(F.col("m") / LIST).cast("int")
+    pieces = F.ceil(F.col("m") / F.greatest(F.lit(float(LIST)), 4 * F.sqrt("m"))).cast("int")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(PERCENT / 100))) + 1e-9).cast("int")
     rows = postings.join(long, "h").withColumn("piece", F.pmod(F.xxhash64("c"), pieces).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1))))
