@@ -77,7 +77,8 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record lines rendered from ``lineitem``."""
-    return spark.sql(f"SELECT {_LINE} AS value FROM ({FIXTURE})", lineitem=lineitem(spark, sf_dir))
+    rendered = spark.sql(f"SELECT {_LINE} AS value FROM ({FIXTURE})", lineitem=lineitem(spark, sf_dir))
+    return rendered.select(fields.once(F.col("value")).alias("value"))
 
 
 def variants(spark: SparkSession, sf_dir: str, **options) -> DataFrame:

@@ -25,6 +25,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """The value, behind a fence: predicates on what is made of it are not pushed below.
+
+    There they would repeat, for each use, all that it takes to make it.  The
+    fence is an expression that the optimizer may not move and that costs
+    nothing for a row.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def unescape(value: Column) -> Column:
     """Percent escapes undone one kind after the other, ``%25`` first."""
 

@@ -90,7 +90,7 @@ def parse_records(lines: DataFrame, header: Header, info: Sequence[str] | None =
     kept = [c for c in ("path", "line_no") if c in lines.columns]
     record = ~F.startswith("value", F.lit("#")) & F.col("value").rlike(r"\S")
     body = lines.where(record).withColumn("is_record", record).select(*kept, F.col("value").alias("line"), "is_record")
-    body = body.withColumn("c", columns_of(F.col("line")))
+    body = body.withColumn("c", columns_of(fields.once(F.col("line"))))
     body = body.withColumn("error", F.when(F.col("is_record"), line_error(F.col("c"), expected_columns(header))))  # predicates may be pushed below the filter
     if mode == "failfast":
         body = body.withColumn("c", F.when(F.col("error").isNull(), F.col("c")).otherwise(F.raise_error(F.concat(F.col("error"), F.lit(": "), F.substr("line", F.lit(1), F.lit(200))))))

@@ -136,6 +136,8 @@ def merge_parts(parts: Iterable[tuple[bytes, object]]) -> TabixIndex:
             for w, begin in linear:
                 s.linear += [0] * (w + 1 - len(s.linear))
                 s.linear[w] = min(s.linear[w] or offset(begin), offset(begin))
+    for s in index.sequences.values():
+        s.bins = dict(sorted(s.bins.items()))
     return index
 
 
