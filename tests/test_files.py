@@ -1,5 +1,6 @@
 import gzip
 import io
+import os
 import random
 
 import pytest
@@ -137,11 +138,11 @@ def test_index_written_with_the_file(spark, files, tmp_path, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     slow = tabix.build_index(path)
-    data = tabix.encode(slow)
-    assert tabix.encode(tabix.read_index(f"{path}.tbi")) == data
     with_tasks = tabix.read_index(tabix.write_index(path, str(tmp_path / "tasks.tbi"), spark))
-    places = lambda i: {c: ([(b, [x[0] for x in cs]) for b, cs in sorted(s.bins.items())], s.linear) for c, s in i.sequences.items()}
-    assert places(with_tasks) == places(slow)
+    # The last line may end before the end mark, after it, or at no named place.
+    end = (os.path.getsize(path) - len(bgzf.EOF_BLOCK)) << 16
+    places = lambda i: {c: ([(b, [(x, min(y, end)) for x, y in cs]) for b, cs in s.bins.items()], s.linear) for c, s in i.sequences.items()}
+    assert places(tabix.read_index(f"{path}.tbi")) == places(with_tasks) == places(slow)
     assert not list(tmp_path.glob("*.parts-*"))
     with pytest.raises(ValueError):
         write.write_vcf(v, h, str(tmp_path / "i.vcf"), index=True)
