@@ -8,6 +8,7 @@ Arrow does not know is an error, never a guess.
 
 from __future__ import annotations
 
+import codecs
 import os
 import shutil
 from typing import BinaryIO
@@ -18,6 +19,12 @@ from pyspark.sql import SparkSession
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
+def charset(encoding: str) -> str:
+    """The name by which the JVM knows one of Python's encodings."""
+    name = codecs.lookup(encoding).name
+    return {"iso8859-1": "ISO-8859-1", "ascii": "US-ASCII"}.get(name, name.upper())
+
+
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

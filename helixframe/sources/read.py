@@ -26,7 +26,7 @@ def header_text(spark: SparkSession, path: str, encoding: str = "utf-8") -> Iter
     stream = _stream(spark, path)
     if path.endswith((".gz", ".bgz")):
         stream = jvm.java.util.zip.GZIPInputStream(stream)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, files.charset(encoding)))
     try:
         while (line := reader.readLine()) is not None:
             yield line
@@ -62,8 +62,8 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataF
     if path.endswith(".bgz"):
         raise ValueError(f"{path} is not made of blocks")
     value = F.col("value")
-    if encoding.lower().replace("_", "-") not in ("utf-8", "utf8"):
-        value = F.decode(value.cast("binary"), encoding)
+    if files.charset(encoding) != "UTF-8":
+        value = F.decode(value.cast("binary"), files.charset(encoding))
     return spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), value.alias("value"))
 
 

@@ -193,9 +193,9 @@ def test_encoding(spark, tmp_path, name):
     data = text.encode("latin-1")
     with open(path, "wb") as f:
         f.write(bgzf.compress_all(data) + bgzf.EOF_BLOCK if name.endswith("gz") else data)
-    v = read.read_vcf(spark, path, encoding="latin-1" if name.endswith("gz") else "ISO-8859-1")
+    v = read.read_vcf(spark, path, encoding="latin-1")
     assert v.first().id == ["é"]
-    assert "größe" in read.read_header(spark, path, encoding="ISO-8859-1").to_text()
+    assert read.read_header(spark, path, encoding="ISO-8859-1").get_info_field_info("DP").description == "größe"
 
 
 def test_streams(spark, tmp_path):
