@@ -60,7 +60,7 @@ LIST = 400
 #: Copies of a component's mark, so that one with most of the members is joined in several tasks.
 SALT = 16
 #: Members that share one copy of a star's centre while they are confirmed, and classes that are linked at once in a map task.
-CHUNK, HEADS = 256, 2_000
+CHUNK, HEADS = 64, 2_000
 _CACHE_WORDS, _CACHE_BYTES = 200_000, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
