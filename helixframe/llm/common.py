@@ -95,8 +95,9 @@ def map_batches(
     columns: list[str],
     schema: str,
     make: Callable[[], Callable[..., list]],
+    rows: int = SLICE,
 ) -> DataFrame:
-    """Apply a batch function to ``columns`` of ``df`` in Arrow batches.
+    """Apply a batch function to ``columns`` of ``df`` in Arrow batches, ``rows`` at a time.
 
     ``make()`` runs once in each Python worker task and returns a function of
     one Python list per column that returns one list per output column.
@@ -107,7 +108,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in slices(batches):
+        for batch in slices(batches, rows):
             out = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, arrow.field(i).type) for i, c in enumerate(out)],

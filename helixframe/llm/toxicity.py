@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
 
             return work
 
-        return map_batches(texts, ["text"], "entry string, around long", make).distinct().groupBy("entry").agg(F.count("*").alias(name))
+        return map_batches(texts, ["text"], "entry string, around long", make, rows=50).distinct().groupBy("entry").agg(F.count("*").alias(name))
 
     def odds(bad: Column, good: Column) -> Column:
         a, b = bad + 0.5, good + 0.5
