@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _typed
-from .common import arrow_schema, slices, stored
+from .common import arrow_schema, give_back, slices, stored
 
 #: q-gram length, window length and step, characters to each allowed edit.
 Q, WINDOW, STEP, PER_EDIT = 12, 120, 60, 15
@@ -383,6 +383,7 @@ def _clean(shared):
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
+        give_back()
         bad = {i for i, *_ in shared.value.leaks(texts.tolist())}
         return pd.Series([i not in bad for i in range(len(texts))])
 

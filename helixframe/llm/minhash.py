@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, behind, discard, held, slices, stored
+from .common import WHOLE, arrow_schema, behind, discard, held, slices, stored
 
 #: Words in a shingle, and least similarity of linked sets in per cent.
 WORDS, PERCENT = 5, 75
@@ -254,7 +254,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     def joined(batches):
         last, tail = None, None
-        for batch in batches:
+        for batch in slices(batches, WHOLE):
             b, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             edges: set[tuple[int, int]] = set()
             for band, x, k in zip(b.tolist(), c.tolist(), n.tolist(), strict=True):
@@ -276,7 +276,7 @@ def _plausible(edges: DataFrame, classes: DataFrame) -> DataFrame:
     schema = arrow_schema(target)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, WHOLE):
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
@@ -347,7 +347,7 @@ def _local_forest(edges: DataFrame) -> DataFrame:
                 x = up
             return x
 
-        for batch in batches:
+        for batch in slices(batches, WHOLE):
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = find(a), find(b)
                 if x != y:
@@ -436,7 +436,7 @@ def _pairs_of_lists(postings: DataFrame, key: list[str]) -> DataFrame:
                         yield _table(edge_schema, [found[:, 0], found[:, 1]])
 
         last = None
-        for batch in batches:
+        for batch in slices(batches, WHOLE):
             if not batch.num_rows:
                 continue
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]

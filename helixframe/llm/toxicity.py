@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _typed
-from .common import discard, map_batches, stored
+from .common import discard, give_back, map_batches, stored
 
 #: Labelled rows that a fit reads at most.
 FIT_ROWS = 12_000
@@ -237,6 +237,7 @@ def score_column(lexicon: Lexicon):
     """The score as a function of a text column, for filters that keep all columns."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        give_back()
         return texts.map(lexicon.score, na_action=None).astype("float64")
 
     return score
